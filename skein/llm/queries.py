@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, tokens
+from . import bpe, quality, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
