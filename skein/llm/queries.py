@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, tokens
+from . import bpe, license, lines, quality, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_line_dedup": lines.op5_line_dedup,
+    "op6_license_scan": license.op6_license_scan,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": lines.OP5_SQL,
+}
