@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, license, lines, quality, tokens
+from . import bpe, langid, license, lines, quality, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op3_language_id": langid.op3_language_id,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_license_scan": license.op6_license_scan,
