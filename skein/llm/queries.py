@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, license, lines, quality, tokens
+from . import bpe, decontaminate, langid, license, lines, quality, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_license_scan": license.op6_license_scan,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
