@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, license, lines, quality, tokens
+from . import bpe, decontaminate, jaccard, langid, license, lines, quality, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_license_scan": license.op6_license_scan,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
