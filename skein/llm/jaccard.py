@@ -62,21 +62,20 @@ def linked(shared, n, m, percent: int):
     return 100 * shared >= percent * (n + m - shared)
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    h = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8")
-    return int(h[0]), int(h[1])
+def digest(s: np.ndarray) -> int:
+    """The name of a set: 64 bits of its hash."""
+    return int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8")[0])
 
 
 def members_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of its set), node and check (two halves of the set's digest; null for an empty set)."""
+    """doc_id, h (a hash of the text), n (size of its set) and node (of the set's digest; null for an empty set)."""
 
     def run(batch: pa.RecordBatch):
         for block in blocks(batch):
             sets = shingle_sets(text_bytes(block), words)
-            both = [digest(s) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([a for a, _ in both], pa.int64()), "check": pa.array([b for _, b in both], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "h": block.column("h"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([digest(s) if len(s) else None for s in sets], pa.int64())})
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, node bigint, check bigint")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, n bigint, node bigint")
 
 
 def hot_shingles(docs: DataFrame, words: int, total: int) -> np.ndarray:
@@ -115,7 +114,7 @@ def _dealt(bucket: np.ndarray, code: np.ndarray, node: np.ndarray) -> pa.RecordB
     order = np.argsort(bucket, kind="stable")
     bucket, code, node = bucket[order], code[order], node[order]
     names, first = np.unique(bucket, return_index=True)
-    last = np.append(first[1:], len(bucket))
+    last = np.append(first[1:], len(bucket))[: len(first)]
     return _packed(names.tolist(), [code[a:z].tobytes() for a, z in zip(first, last, strict=True)], [node[a:z].tobytes() for a, z in zip(first, last, strict=True)])
 
 
@@ -154,7 +153,7 @@ def shared_prefixes(docs: DataFrame, words: int, percent: int, hot: np.ndarray,
                 for s in shingle_sets(text_bytes(block), words):
                     if not len(s):
                         continue
-                    node = digest(s)[0]
+                    node = digest(s)
                     if node in done:
                         continue
                     if len(done) > 200_000:
@@ -207,7 +206,7 @@ def shared_prefixes(docs: DataFrame, words: int, percent: int, hot: np.ndarray,
         order = np.argsort(home, kind="stable")
         home, code, node, df = home[order], code[order], node[order], df[order]
         names, first = np.unique(home, return_index=True)
-        parts = list(zip(first, np.append(first[1:], len(home)), strict=True))
+        parts = list(zip(first, np.append(first[1:], len(home))[: len(first)], strict=True))
         return pa.table({"bucket": names.tolist(), "code": [code[a:z].tobytes() for a, z in parts], "node": [node[a:z].tobytes() for a, z in parts], "more": [df[a:z].tobytes() for a, z in parts]}, schema=_schema(more=True))
 
     def chosen(t: pa.Table) -> pa.Table:
@@ -415,37 +414,27 @@ def _by_region(rows) -> dict[int, list[tuple[int, float, int]]]:
     return out
 
 
-def link_classes(docs: DataFrame, words: int = 5, percent: int = 75, region: int = REGION, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text).
-
-    A document's set holds its distinct shingles of ``words`` words (ASCII white space
-    divides, A-Z in lower case); of a shorter text the whole sequence. Sets link if
-    ``100 * intersection >= percent * union``; component_id is the smallest doc_id
-    that links reach. A null, empty or blank text has an empty set, links with
-    nothing and is its own class. Equal sets link, whatever the texts; repeated rows
-    and equal doc_ids are documents of their own. A null doc_id takes part, and is
-    never the smallest unless alone. Other columns are ignored.
-    """
-    spark = docs.sparkSession
+def _classed(docs: DataFrame, words: int, percent: int, region: int, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, n, node) of ``docs``, and node, root of the sets that link with another set."""
     docs = docs.select("doc_id", "text")
     members = persisted(members_of(docs, words))
-    nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_rep"))
     total = int(members.agg(F.sum("n")).first()[0] or 0)
     hot = hot_shingles(docs, words, total)
     buckets = max(4, -(-int(COUNTED * total) // BUCKET))
     prefixes = shared_prefixes(docs, words, percent, hot, buckets)
     regions = persisted(connected_components(region_edges(prefixes))).withColumnRenamed("root", "region")
     sized = regions.join(regions.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
-    wanted = persisted(sized.join(nodes, "node").select("node", "region", "size", F.col("least").alias("_rep")))
+    wanted = persisted(sized.join(nodes, "node").select("node", "region", "size", "_rep"))
     if wanted.count() <= max_broadcast:
         wanted = F.broadcast(wanted)
-    chosen = docs.join(wanted, docs["doc_id"] == F.col("_rep")).select("text", "node", "region", "size")
+    chosen = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text", "node", "region", "size")
 
     def sets_of(batch: pa.RecordBatch):
         for block in blocks(batch):
             sets = shingle_sets(text_bytes(block), words)
             node = block.column("node").to_pylist()
-            on = [i for i, s in enumerate(sets) if len(s) and digest(s)[0] == node[i]]  # another row may have the same doc_id
+            on = [i for i, s in enumerate(sets) if len(s) and digest(s) == node[i]]  # another row may have the same doc_id
             take = pa.array(on, pa.int64())
             yield pa.RecordBatch.from_pydict({k: block.column(k).take(take) for k in ("region", "size", "node")} | {"tokens": pa.array([sets[i].tobytes() for i in on], pa.binary())})
 
@@ -454,7 +443,23 @@ def link_classes(docs: DataFrame, words: int = 5, percent: int = 75, region: int
     if not sets.where(F.col("size") > region).isEmpty():
         links = links_of_large_regions(sets.where(F.col("size") > region), percent, cell=region)
         roots = roots.union(connected_components(links))
-    joined = persisted(roots.join(nodes, "node").select("node", "root", "least"))
+    return members, persisted(roots)
+
+
+def link_classes(docs: DataFrame, words: int = 5, percent: int = 75, region: int = REGION, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text).
+
+    A document's set holds its distinct shingles of ``words`` words (ASCII white space
+    divides, A-Z in lower case); of a shorter text the whole sequence. Sets link if
+    ``100 * intersection >= percent * union``; component_id is the smallest doc_id
+    that links reach. A null, empty or blank text has an empty set, links with
+    nothing and is its own class. Equal sets link, whatever the texts; repeated rows
+    and equal doc_ids are documents of their own. A null doc_id takes part, and is
+    never the smallest unless alone. Other columns are ignored.
+    """
+    members, roots = _classed(docs, words, percent, region, max_broadcast)
+    nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    joined = nodes.join(roots, "node").select("node", "root", "least")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = joined.join(least, "root").select("node", "component_id")
     own = nodes.join(classes, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
@@ -462,5 +467,29 @@ def link_classes(docs: DataFrame, words: int = 5, percent: int = 75, region: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, region: int = REGION, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stand for their class: that of the smallest doc_id (nulls last).
+
+    Classes are those of ``link_classes``; of rows with the same doc_id and text one
+    stays, which of them isn't defined. Rows without words all stay.
+    """
+    members, roots = _classed(docs, words, percent, region, max_broadcast)
+    rows = members.where("node is not null").groupBy("node", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    rows = persisted(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s"))
+    told = persisted(rows.join(stays, "root").withColumn("stays", F.col("s.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("s.h") == F.col("h"))).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "stays", "rows"))
+    keyed = docs.withColumn("_t", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h"))
+    gone = told.where(~F.col("stays")).select("_d", "_h").distinct()
+    if gone.count() <= max_broadcast:
+        gone = F.broadcast(gone)
+    out = keyed.join(gone, same, "left_anti")
+    repeated = told.where(F.col("stays") & (F.col("rows") > 1)).select("_d", "_h").distinct()
+    if not repeated.isEmpty():
+        one = out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_t"])
+        out = out.join(repeated, same, "left_anti").unionByName(one)
+    return out.select(*docs.columns)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_classes(table(spark, sf_dir, "documents"))
