@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, langid, license, lines, quality, tokens
+from . import bpe, decontaminate, jaccard, langid, license, lines, quality, repeats, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_license_scan": license.op6_license_scan,
+    "op7_repeated_spans": repeats.op7_repeated_spans,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_byte_bpe": bpe.op10_byte_bpe,
