@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, langid, license, lines, quality, repeats, tokens
+from . import bpe, decontaminate, jaccard, langid, license, lines, ngrams, quality, repeats, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op2_lm_scores": ngrams.op2_lm_scores,
     "op3_language_id": langid.op3_language_id,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_line_dedup": lines.op5_line_dedup,
