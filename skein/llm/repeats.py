@@ -35,7 +35,7 @@ from .texthash import mixed
 #: Bytes of texts handled at once.
 BLOCK = 2 << 20
 #: Segments of a bucket that one task refines, and of a task's buckets together, about.
-BUCKET, TASK = 20_000, 20_000
+BUCKET, TASK = 4_000, 4_000
 #: Widths of offset ranges into which a large bucket's segments are cut, in turn.
 CUTS = (64, 8, 1)
 #: Rows of 40 bytes that are broadcast at most.
