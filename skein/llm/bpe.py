@@ -86,7 +86,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str = public_toke
     """
     spark: SparkSession = docs.sparkSession
     raw = spark.sparkContext.broadcast(read_ranks(rank_file))
-    source = docs.select(*keep, "text")
+    source = docs.select(*dict.fromkeys((*keep, "text")))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in keep]
     fields += ["ids array<int>"] * ids + ["n_tokens bigint"] + ["ids_sha256 string", "decoded_sha256 string"] * digests
 

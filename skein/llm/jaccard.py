@@ -477,16 +477,16 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, region:
     rows = members.where("node is not null").groupBy("node", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
     rows = persisted(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s"))
-    told = persisted(rows.join(stays, "root").withColumn("stays", F.col("s.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("s.h") == F.col("h"))).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "stays", "rows"))
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h"))
-    gone = told.where(~F.col("stays")).select("_d", "_h").distinct()
+    told = persisted(rows.join(stays, "root").withColumn("stays", F.col("s.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("s.h") == F.col("h"))).select(F.col("doc_id").alias("__skein_d"), F.col("h").alias("__skein_h"), "stays", "rows"))
+    keyed = docs.withColumn("__skein_t", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__skein_d")) & (F.col("__skein_t") == F.col("__skein_h"))
+    gone = told.where(~F.col("stays")).select("__skein_d", "__skein_h").distinct()
     if gone.count() <= max_broadcast:
         gone = F.broadcast(gone)
     out = keyed.join(gone, same, "left_anti")
-    repeated = told.where(F.col("stays") & (F.col("rows") > 1)).select("_d", "_h").distinct()
+    repeated = told.where(F.col("stays") & (F.col("rows") > 1)).select("__skein_d", "__skein_h").distinct()
     if not repeated.isEmpty():
-        one = out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_t"])
+        one = out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__skein_t"])
         out = out.join(repeated, same, "left_anti").unionByName(one)
     return out.select(*docs.columns)
 

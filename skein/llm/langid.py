@@ -206,7 +206,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, keep: tuple[str, ...] = ("d
     x, y, langs = training_windows(learn_from)
     net = train(x, y, langs) if langs else None
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    source = docs.select(*keep, "text")
+    source = docs.select(*dict.fromkeys((*keep, "text")))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in keep] + ["lang_pred string", "score double"]
     folded: list = []  # made once in each task
 

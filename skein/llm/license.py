@@ -222,7 +222,7 @@ def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), phrases:
     A null text is empty and has no words. Repeated rows are scanned alike; other
     columns are ignored. Phrases and templates are a fixed set held in memory.
     """
-    source = docs.select(*keep, "text")
+    source = docs.select(*dict.fromkeys((*keep, "text")))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in keep]
     fields += ["n_words bigint", "n_base bigint", "first_word bigint", "last_word bigint", "base_labels string", "labels string", "score double", "spans array<struct<label: string, first_word: bigint, end_word: bigint, cover: double>>"]
     span_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("cover", pa.float64())]))

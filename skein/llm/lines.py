@@ -64,13 +64,14 @@ def seen_twice(docs: DataFrame, bits: int, min_length: int = 1) -> np.ndarray:
     """The merged filter of keys in two documents or more; ``bits`` is a power of two."""
 
     def run(batches):
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        seen = np.zeros(bits, dtype=np.uint8)  # 1: in the first filter, 2: in the second
 
         def put(high):
             a, b = _places(high, bits)
-            old = once[a] & once[b]
-            twice[a[old]] = twice[b[old]] = True
-            once[a] = once[b] = True
+            old = seen[a] & seen[b] & 1 > 0
+            for p in (a, b):
+                seen[p[old]] |= 2
+                seen[p] |= 1
 
         for batch in batches:
             for block in blocks(batch):
@@ -83,9 +84,9 @@ def seen_twice(docs: DataFrame, bits: int, min_length: int = 1) -> np.ndarray:
                 put(high[~first])
         for shard in range(max(1, bits // SHARD_BITS)):
             part = slice(shard * SHARD_BITS, (shard + 1) * SHARD_BITS)
-            at = np.flatnonzero(once[part])
+            at = np.flatnonzero(seen[part])
             if len(at):
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "task": pa.array([_task()], pa.int32()), "once": pa.array([_pack(at)], pa.binary()), "twice": pa.array([_pack(np.flatnonzero(twice[part]))], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "task": pa.array([_task()], pa.int32()), "once": pa.array([_pack(at)], pa.binary()), "twice": pa.array([_pack(np.flatnonzero(seen[part] & 2))], pa.binary())})
 
     def merged(t: pa.Table) -> pa.Table:
         once, twice = np.zeros(SHARD_BITS // 8, np.uint8), np.zeros(SHARD_BITS // 8, np.uint8)
@@ -226,20 +227,20 @@ def _drop_joined(docs: DataFrame, frequent: DataFrame, min_length: int, keep_fir
                 half = _digests([k for _, k in pairs])
                 n = len(pairs)
                 same = block.slice(i, 1)
-                yield pa.RecordBatch.from_pydict({"_d": pa.array(same.column("doc_id").to_pylist() * n, pa.int64()), "_h": pa.array(same.column("_h").to_pylist() * n, pa.int64()), "line": pa.array([j for j, _ in pairs], pa.int64()), "hi": pa.array(half[:, 0]), "lo": pa.array(half[:, 1])})
+                yield pa.RecordBatch.from_pydict({"__skein_d": pa.array(same.column("doc_id").to_pylist() * n, pa.int64()), "__skein_h": pa.array(same.column("__skein_h").to_pylist() * n, pa.int64()), "line": pa.array([j for j, _ in pairs], pa.int64()), "hi": pa.array(half[:, 0]), "lo": pa.array(half[:, 1])})
 
-    keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn("_d", F.col("doc_id").cast("bigint"))
-    lines = map_arrow(keyed.select(F.col("_d").alias("doc_id"), "text", "_h").dropDuplicates(["doc_id", "_h"]), listed, "_d bigint, _h bigint, line bigint, hi bigint, lo bigint")
+    keyed = docs.withColumn("__skein_h", F.xxhash64("text")).withColumn("__skein_d", F.col("doc_id").cast("bigint"))
+    lines = map_arrow(keyed.select(F.col("__skein_d").alias("doc_id"), "text", "__skein_h").dropDuplicates(["doc_id", "__skein_h"]), listed, "__skein_d bigint, __skein_h bigint, line bigint, hi bigint, lo bigint")
     hit = lines.join(frequent, ["hi", "lo"])
     if keep_first:
-        hit = hit.where(~(F.col("_d").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
-    drops = hit.groupBy("_d", "_h").agg(F.collect_set("line").alias("_drop")).withColumnsRenamed({"_d": "_d2", "_h": "_h2"})
-    joined = keyed.join(drops, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left").select(*docs.columns, "_drop")
+        hit = hit.where(~(F.col("__skein_d").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
+    drops = hit.groupBy("__skein_d", "__skein_h").agg(F.collect_set("line").alias("__skein_drop")).withColumnsRenamed({"__skein_d": "__skein_d2", "__skein_h": "__skein_h2"})
+    joined = keyed.join(drops, F.col("__skein_d").eqNullSafe(F.col("__skein_d2")) & (F.col("__skein_h") == F.col("__skein_h2")), "left").select(*docs.columns, "__skein_drop")
 
     def run(batch: pa.RecordBatch):
         for block in blocks(batch):
-            drops = [set(x or ()) for x in block.column("_drop").to_pylist()]
-            yield _rewritten(block.drop_columns(["_drop"]), text_bytes(block), drops)
+            drops = [set(x or ()) for x in block.column("__skein_drop").to_pylist()]
+            yield _rewritten(block.drop_columns(["__skein_drop"]), text_bytes(block), drops)
 
     return map_arrow(joined, run, ", ".join(columns))
 

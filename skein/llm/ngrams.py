@@ -175,7 +175,7 @@ def _lookup(names: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _scored_in_columns(docs: DataFrame, unigrams, n_words: int, hot, buckets: int, keep: tuple[str, ...]) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast((*unigrams, *hot))
-    source = docs.select(*keep, F.struct(*keep).alias("_k"), "text")
+    source = docs.select(*dict.fromkeys((*keep, "text")), F.struct(*keep).alias("_k"))
     kept_type = source.schema["_k"].dataType.simpleString()
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in keep)
     packed = ("h", "doc", "times", "before", "own")
@@ -280,7 +280,7 @@ def _scored_in_columns(docs: DataFrame, unigrams, n_words: int, hot, buckets: in
 
 def _scored_in_rows(docs: DataFrame, unigrams: DataFrame, n_words: int, keep: tuple[str, ...]) -> DataFrame:
     """The same in rows, for vocabularies of any size: every distinct n-gram of a document meets its count in a shuffle."""
-    keyed = persisted(docs.select(*keep, "text").withColumn("_row", F.expr("uuid()")))
+    keyed = persisted(docs.select(*dict.fromkeys((*keep, "text"))).withColumn("_row", F.expr("uuid()")))
 
     def exploded(batch: pa.RecordBatch):
         for block in blocks(batch):

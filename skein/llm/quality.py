@@ -40,37 +40,37 @@ _SPACE = " \\t\\n\\u000B\\u000C\\r"
 def with_signals(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and rung."""
     kept = docs.columns if keep is None else keep
-    t = "coalesce(_q_text, '')"
-    out = docs.withColumn("_q_text", F.col("text"))
-    out = out.withColumn("_q_words", F.expr(rf"filter(split({t}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"))
-    out = out.withColumn("_q_lines", F.expr(rf"filter(split({t}, '\n'), l -> translate(l, '{_SPACE}', '') <> '')"))
-    out = out.withColumn("_q_h", F.expr(f"if(size(_q_words) >= {WINDOW}, transform(sequence(1, size(_q_words) - {WINDOW - 1}), i -> xxhash64(slice(_q_words, i, {WINDOW}))), cast(array() as array<bigint>))"))
-    out = out.withColumn("_q_dup", F.expr("size(array_distinct(_q_h)) < size(_q_h)"))
-    out = out.withColumn("_q_s", F.expr("if(_q_dup, sort_array(transform(_q_h, (h, i) -> struct(h as h, i as i))), cast(array() as array<struct<h: bigint, i: int>>))"))
-    out = out.withColumn("_q_at", F.expr("sort_array(transform(filter(_q_s, (x, j) -> (j > 0 and _q_s[j - 1].h = x.h) or (j < size(_q_s) - 1 and _q_s[j + 1].h = x.h)), x -> x.i))"))
-    n_lines = F.size("_q_lines")
+    t = "coalesce(__skein_q_text, '')"
+    out = docs.withColumn("__skein_q_text", F.col("text"))
+    out = out.withColumn("__skein_q_words", F.expr(rf"filter(split({t}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"))
+    out = out.withColumn("__skein_q_lines", F.expr(rf"filter(split({t}, '\n'), l -> translate(l, '{_SPACE}', '') <> '')"))
+    out = out.withColumn("__skein_q_h", F.expr(f"if(size(__skein_q_words) >= {WINDOW}, transform(sequence(1, size(__skein_q_words) - {WINDOW - 1}), i -> xxhash64(slice(__skein_q_words, i, {WINDOW}))), cast(array() as array<bigint>))"))
+    out = out.withColumn("__skein_q_dup", F.expr("size(array_distinct(__skein_q_h)) < size(__skein_q_h)"))
+    out = out.withColumn("__skein_q_s", F.expr("if(__skein_q_dup, sort_array(transform(__skein_q_h, (h, i) -> struct(h as h, i as i))), cast(array() as array<struct<h: bigint, i: int>>))"))
+    out = out.withColumn("__skein_q_at", F.expr("sort_array(transform(filter(__skein_q_s, (x, j) -> (j > 0 and __skein_q_s[j - 1].h = x.h) or (j < size(__skein_q_s) - 1 and __skein_q_s[j + 1].h = x.h)), x -> x.i))"))
+    n_lines = F.size("__skein_q_lines")
     out = out.select(
         *kept,
-        F.size("_q_words").cast("bigint").alias("n_words"),
+        F.size("__skein_q_words").cast("bigint").alias("n_words"),
         F.expr(f"cast(length(translate({t}, '{_SPACE}', '')) as bigint)").alias("word_chars"),
         F.expr(f"cast(length({t}) - length(translate({t}, '#*$%&|<>', '')) as bigint)").alias("n_symbols"),
-        (n_lines - F.size(F.array_distinct("_q_lines"))).cast("bigint").alias("n_dup_lines"),
-        F.expr(f"aggregate(_q_at, struct(0L as n, -{WINDOW} as last), (a, p) -> struct(a.n + least({WINDOW}, p - a.last) as n, p as last), a -> a.n)").alias("n_repeat_words"),
-        n_lines.alias("_q_n_lines"),
-        F.expr(f"length({t}) - length(translate({t}, '!', ''))").alias("_q_bang"),
-        F.size(F.array_distinct("_q_words")).alias("_q_distinct"),
+        (n_lines - F.size(F.array_distinct("__skein_q_lines"))).cast("bigint").alias("n_dup_lines"),
+        F.expr(f"aggregate(__skein_q_at, struct(0L as n, -{WINDOW} as last), (a, p) -> struct(a.n + least({WINDOW}, p - a.last) as n, p as last), a -> a.n)").alias("n_repeat_words"),
+        n_lines.alias("__skein_q_n_lines"),
+        F.expr(f"length({t}) - length(translate({t}, '!', ''))").alias("__skein_q_bang"),
+        F.size(F.array_distinct("__skein_q_words")).alias("__skein_q_distinct"),
     )
     n = F.greatest(F.col("n_words"), F.lit(1))
     signals = {
         "symbol_rate": F.col("n_symbols") / n,
-        "bang_rate": F.col("_q_bang") / n,
-        "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("_q_n_lines"), F.lit(1)),
+        "bang_rate": F.col("__skein_q_bang") / n,
+        "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("__skein_q_n_lines"), F.lit(1)),
         "repeat_rate": F.col("n_repeat_words") / n,
-        "sameness": F.when(F.col("n_words").between(50, 2000), 1 - F.col("_q_distinct") / n).otherwise(F.lit(0.0)),
+        "sameness": F.when(F.col("n_words").between(50, 2000), 1 - F.col("__skein_q_distinct") / n).otherwise(F.lit(0.0)),
     }
-    out = out.withColumns({f"_q_{k}": v for k, v in signals.items()})
+    out = out.withColumns({f"__skein_q_{k}": v for k, v in signals.items()})
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return out.withColumn("rung", F.least(*[_rung(F.col(f"_q_{k}"), c) for k, c in LADDERS.items()])).select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rung")
+    return out.withColumn("rung", F.least(*[_rung(F.col(f"__skein_q_{k}"), c) for k, c in LADDERS.items()])).select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rung")
 
 
 def _rung(signal: Column, cutoffs: tuple[float, ...]) -> Column:
@@ -132,12 +132,12 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, alp
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rung", "cutoff_rung", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    staged = docs.drop(*made).withColumn("_q_stratum", stratum_of(docs))
-    scored = persisted(with_signals(staged, [*dict.fromkeys([*keep, "doc_id", "_q_stratum"])]))
+    staged = docs.drop(*made).withColumn("__skein_q_stratum", stratum_of(docs))
+    scored = persisted(with_signals(staged, [*dict.fromkeys([*keep, "doc_id", "__skein_q_stratum"])]))
     said = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    known = scored.where(~F.col("base_failed")).select("doc_id", F.col("_q_stratum").alias("stratum"), "rung").join(said, "doc_id")
-    cutoffs = certified_rungs(known, alpha, delta).withColumnRenamed("stratum", "_q_stratum")
-    out = scored.join(cutoffs, "_q_stratum", "left").withColumn("cutoff_rung", F.coalesce("cutoff_rung", F.lit(0)))
+    known = scored.where(~F.col("base_failed")).select("doc_id", F.col("__skein_q_stratum").alias("stratum"), "rung").join(said, "doc_id")
+    cutoffs = certified_rungs(known, alpha, delta).withColumnRenamed("stratum", "__skein_q_stratum")
+    out = scored.join(cutoffs, "__skein_q_stratum", "left").withColumn("cutoff_rung", F.coalesce("cutoff_rung", F.lit(0)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rung") > F.col("cutoff_rung"))).select(*keep, *made)
 
 

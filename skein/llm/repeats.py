@@ -33,7 +33,7 @@ from .common import blocks, map_arrow, persisted, table, text_bytes
 from .texthash import mixed
 
 #: Bytes of texts handled at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Segments of a bucket that one task refines, and of a task's buckets together, about.
 BUCKET, TASK = 4_000, 4_000
 #: Widths of offset ranges into which a large bucket's segments are cut, in turn.
@@ -275,14 +275,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = (
     bytes. A repeated row is a document of its own, so that it and its copy lose all
     that is long enough. Cuts may fall within a character, hence bytes. Null keys pass.
     """
-    keyed = docs.select(*keep, "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("ref"))
+    keyed = docs.select(*dict.fromkeys((*keep, "text")), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("ref"))
     ranges = repeated_ranges(keyed.select("ref", "text"), length, min(q, length), bucket_limit, max_broadcast=max_broadcast)
     by = persisted(ranges.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("ranges"), F.count(F.lit(1)).alias("n"))).withColumnRenamed("ref", "_ref")
     size = by.agg(F.sum("n")).first()[0] or 0
     by = by.drop("n")
     if size <= max_broadcast:
         by = F.broadcast(by)
-    joined = keyed.join(by, F.col("ref") == F.col("_ref"), "left").select(*keep, "text", "ranges")
+    joined = keyed.join(by, F.col("ref") == F.col("_ref"), "left").select(*dict.fromkeys((*keep, "text")), "ranges")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in keep] + ["n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, left binary"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

@@ -136,7 +136,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc
     spark = docs.sparkSession
     raw = read_vocabulary(vocabulary)
     shared = spark.sparkContext.broadcast((raw, frequent_lengths(docs, raw) if frequent is None else frequent))
-    source = docs.select(*keep, "text")
+    source = docs.select(*dict.fromkeys((*keep, "text")))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in keep] + ["n_bytes bigint", "n_tokens bigint"]
 
     def run(batch: pa.RecordBatch):
