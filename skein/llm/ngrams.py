@@ -32,7 +32,7 @@ from .texthash import ngram_hashes, word_hashes
 BACKOFF, MIN_COUNT = 0.4, 2
 #: N-grams of a partition, about, and of a task's rows.
 BUCKET, FLUSH = 3_000_000, 2_000_000
-#: Words whose counts (12 bytes each) are broadcast.
+#: Words whose counts are broadcast: packed in about 7 bytes, 12 in a worker.
 MAX_WORDS = 12_000_000
 #: Frequent bigrams: entries of a task's summary, occurrences in a task at least, in all at least.
 SUMMARY, LOCAL_HOT, HOT = 16384, 8, 1024
@@ -77,7 +77,7 @@ def _words(block: pa.RecordBatch):
 
 
 def word_counts(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """w, n of all words, and h, n of bigrams that are frequent in some task (lower bounds)."""
+    """Packed counts of all words, a row for each range of hashes (n words, total occurrences, names, counts), and h, n of bigrams that are frequent in some task (lower bounds)."""
 
     def run(batches):
         names, counts, size = [], [], 0
@@ -112,11 +112,23 @@ def word_counts(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
         h = np.concatenate([_unpack(x.as_py(), np.uint64) for x in t.column("h")])
         n = np.concatenate([_unpack(x.as_py(), np.int64) for x in t.column("n")])
         h, n = _summed(h, n)
-        return pa.table({"pair": pa.array([t.column("bucket")[0].as_py() < 0] * len(h)), "h": pa.array(h.view(np.int64)), "n": pa.array(n)})
+        if t.column("bucket")[0].as_py() < 0:
+            none = pa.nulls(len(h), pa.binary())
+            return pa.table({"pair": pa.array([True] * len(h)), "h": pa.array(h.view(np.int64)), "n": pa.array(n), "total": pa.array(n), "names": none, "counts": none})
+        return pa.table({"pair": [False], "h": pa.nulls(1, pa.int64()), "n": [len(h)], "total": [int(n.sum())], "names": pa.array([_pack(np.diff(h, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([_pack(n)], pa.binary())})
 
     rows = docs.select("text").mapInArrow(run, "bucket int, h binary, n binary")
-    out = persisted(rows.groupBy("bucket").applyInArrow(total, "pair boolean, h bigint, n bigint"))
-    return out.where("not pair").select("h", "n"), out.where("pair").groupBy("h").agg(F.sum("n").alias("n"))
+    out = persisted(rows.groupBy("bucket").applyInArrow(total, "pair boolean, h bigint, n bigint, total bigint, names binary, counts binary"))
+    return out.where("not pair").select("n", "total", "names", "counts"), out.where("pair").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _unpacked(names: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of packed parts, which are apart by range."""
+    parts = sorted(((np.cumsum(_unpack(h, np.uint64), dtype=np.uint64), _unpack(n, np.int64)) for h, n in zip(names, counts, strict=True)), key=lambda x: int(x[0][0]))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    n = np.concatenate([n for _, n in parts])
+    return np.concatenate([h for h, _ in parts]), n.astype(np.uint32) if n.max() < 1 << 32 else n
 
 
 def exact_counts(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
@@ -152,16 +164,24 @@ def stupid_backoff(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_wor
     total = int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
     buckets = max(2, -(-total // 5 // BUCKET))
     unigrams, seen = word_counts(docs, buckets)
-    n_words, distinct = unigrams.agg(F.sum("n"), F.count(F.lit(1))).first()
-    n_words = n_words or 0
+    n_words, distinct = (x or 0 for x in unigrams.agg(F.sum("total"), F.sum("n")).first())
     hot = np.sort(np.array([r.h for r in seen.where(F.col("n") >= max(HOT, n_words // 1_000_000)).select("h").collect()], dtype=np.int64).view(np.uint64))
     hot_n = exact_counts(docs, hot)
     if distinct > max_words:
         return _scored_in_rows(docs, unigrams, n_words, keep)
-    counts = unigrams.toPandas()  # max_words rows at most
-    h = counts["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return _scored_in_columns(docs, (h[order], counts["n"].to_numpy()[order]), n_words, (hot, hot_n), buckets, keep)
+    packed = unigrams.select("names", "counts").collect()  # of max_words words at most, about 7 bytes each
+    return _scored_in_columns(docs, [(bytes(r.names), bytes(r.counts)) for r in packed], n_words, (hot, hot_n), buckets, keep)
+
+
+#: The unpacked counts of this worker's broadcast.
+_unigrams: list = []
+
+
+def unpacked_here(packed: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts, unpacked once in a worker."""
+    if not _unigrams or _unigrams[0] is not packed:
+        _unigrams[:] = [packed, _unpacked([h for h, _ in packed], [n for _, n in packed])]
+    return _unigrams[1]
 
 
 def _lookup(names: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -174,7 +194,7 @@ def _lookup(names: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _scored_in_columns(docs: DataFrame, unigrams, n_words: int, hot, buckets: int, keep: tuple[str, ...]) -> DataFrame:
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast((*unigrams, *hot))
+    shared = spark.sparkContext.broadcast((unigrams, *hot))
     source = docs.select(*dict.fromkeys((*keep, "text")), F.struct(*keep).alias("_k"))
     kept_type = source.schema["_k"].dataType.simpleString()
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in keep)
@@ -183,7 +203,8 @@ def _scored_in_columns(docs: DataFrame, unigrams, n_words: int, hot, buckets: in
 
     def emit(batches):
         """Bigrams of a chunk of documents by bucket; a chunk's own row has its documents and what is known of them here."""
-        names, counts, hot, hot_n = shared.value
+        packed_counts, hot, hot_n = shared.value
+        names, counts = unpacked_here(packed_counts)
         part = TaskContext.get().partitionId()
         chunk = 0
         cols: dict[str, list] = {k: [] for k in packed}
@@ -205,7 +226,7 @@ def _scored_in_columns(docs: DataFrame, unigrams, n_words: int, hot, buckets: in
             key_type = [batch.column("_k").type]
             for block in blocks(batch):
                 words, pairs, row, starts = _words(block)
-                n = _lookup(names, counts, words)
+                n = _lookup(names, counts, words).astype(np.int64)
                 n_docs = block.num_rows
                 known = np.zeros(n_docs)  # first words, and frequent bigrams
                 np.add.at(known, row[starts], np.log(n[starts] / n_words))
@@ -292,7 +313,14 @@ def _scored_in_rows(docs: DataFrame, unigrams: DataFrame, n_words: int, keep: tu
     grams = map_arrow(keyed.select("_row", "text"), exploded, "_row string, v bigint, w bigint, h bigint").groupBy("_row", "v", "w", "h").agg(F.count(F.lit(1)).alias("times"))
     grams = persisted(grams)
     bigrams = grams.where("h <> 0").groupBy("h").agg(F.sum("times").alias("c"))
-    of = lambda name, col: unigrams.select(F.col("h").alias(name), F.col("n").alias(col))
+
+    def unpacked(batch: pa.RecordBatch):
+        for h, n in zip(batch.column("names").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            h, n = _unpacked([h], [n])
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    counted = map_arrow(unigrams.select("names", "counts"), unpacked, "h bigint, n bigint")
+    of = lambda name, col: counted.select(F.col("h").alias(name), F.col("n").alias(col))
     met = grams.join(of("w", "own"), "w").join(of("v", "before"), "v", "left").join(bigrams, "h", "left")
     held = F.coalesce(F.col("c") >= MIN_COUNT, F.lit(False))
     s = F.when(F.col("h") == 0, F.log(F.col("own") / n_words)).when(held, F.log(F.col("c") / F.col("before"))).otherwise(F.log(F.lit(BACKOFF) * F.col("own") / n_words))
