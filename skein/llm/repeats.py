@@ -167,7 +167,7 @@ _RANGE = "ref bigint, start bigint, stop bigint"
 
 
 def repeated_ranges(keyed: DataFrame, length: int, q: int, bucket_limit: int = BUCKET, task_size: int = TASK, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """ref, start, stop: starts (stop excluded) of repeated strings in the texts with that ref; keyed has ref and text."""
+    """ref and ranges (start, stop): starts, stop excluded, of repeated strings in the texts with that ref; keyed has ref and text."""
 
     def cut(batch: pa.RecordBatch):
         for block in blocks(batch, limit=BLOCK):
@@ -215,7 +215,28 @@ def repeated_ranges(keyed: DataFrame, length: int, q: int, bucket_limit: int = B
     out = ranges[0]
     for r in ranges[1:]:
         out = out.union(r)
-    return out
+    return _merged(out, max(1, -(-parts.count() // 200_000)))
+
+
+def _merged(ranges: DataFrame, tasks: int) -> DataFrame:
+    """ref and its ranges as few and long as can be, by start."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+    def run(t: pa.Table) -> pa.Table:
+        ref, start, stop = (t.column(k).to_numpy() for k in ("ref", "start", "stop"))
+        order = np.lexsort((start, ref))
+        ref, start, stop = ref[order], start[order], stop[order]
+        names, own = np.unique(ref, return_inverse=True)
+        reach = np.maximum.accumulate(stop + own * (1 << 40)) - own * (1 << 40)
+        new = np.ones(len(ref), dtype=bool)
+        new[1:] = (ref[1:] != ref[:-1]) | (start[1:] > reach[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(ref))[: len(first)] - 1
+        values = pa.StructArray.from_arrays([pa.array(start[first]), pa.array(reach[last])], names=["start", "stop"])
+        offsets = np.append(np.searchsorted(ref[first], names), len(first)).astype(np.int32)
+        return pa.table({"ref": names, "ranges": pa.ListArray.from_arrays(pa.array(offsets), values).cast(kind)})
+
+    return ranges.groupBy(F.pmod(F.xxhash64("ref"), F.lit(tasks)).alias("_task")).applyInArrow(run, "ref bigint, ranges array<struct<start: bigint, stop: bigint>>")
 
 
 def _refined(spans: DataFrame, length: int, q: int, task_size: int) -> DataFrame:
@@ -277,9 +298,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = (
     """
     keyed = docs.select(*dict.fromkeys((*keep, "text")), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("ref"))
     ranges = repeated_ranges(keyed.select("ref", "text"), length, min(q, length), bucket_limit, max_broadcast=max_broadcast)
-    by = persisted(ranges.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("ranges"), F.count(F.lit(1)).alias("n"))).withColumnRenamed("ref", "_ref")
-    size = by.agg(F.sum("n")).first()[0] or 0
-    by = by.drop("n")
+    by = persisted(ranges).withColumnRenamed("ref", "_ref")
+    size = by.agg(F.sum(F.size("ranges") + 1)).first()[0] or 0
     if size <= max_broadcast:
         by = F.broadcast(by)
     joined = keyed.join(by, F.col("ref") == F.col("_ref"), "left").select(*dict.fromkeys((*keep, "text")), "ranges")
