@@ -344,4 +344,4 @@ def test_special_indexes(spark):
     free.values |= {"start": 5, "end": 5}
     assert e.overlapping(span, free) == []
     assert [r.item_id for r in e.overlapping(span, e.read(d))] == []
-    assert e.query(item.handle, QuerySpec(where(start, "<", 15) & where(end, ">", 5))).count() == 2
+    assert e.query(item.handle, QuerySpec(where(start, "<", 15) & where(end, ">", 5))).count() == 3
