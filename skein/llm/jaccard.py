@@ -424,7 +424,8 @@ def _classed(docs: DataFrame, words: int, percent: int, region: int, max_broadca
     buckets = max(4, -(-int(COUNTED * total) // BUCKET))
     prefixes = shared_prefixes(docs, words, percent, hot, buckets)
     regions = persisted(connected_components(region_edges(prefixes))).withColumnRenamed("root", "region")
-    sized = regions.join(regions.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
+    large = persisted(regions.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > region))
+    sized = regions.join(F.broadcast(large) if large.count() <= max_broadcast else large, "region", "left").fillna(0, "size")
     wanted = persisted(sized.join(nodes, "node").select("node", "region", "size", "_rep"))
     if wanted.count() <= max_broadcast:
         wanted = F.broadcast(wanted)
@@ -440,7 +441,7 @@ def _classed(docs: DataFrame, words: int, percent: int, region: int, max_broadca
 
     sets = persisted(map_arrow(chosen, sets_of, "region bigint, size bigint, node bigint, tokens binary"))
     roots = classes_of_regions(sets.where(F.col("size") <= region), percent)
-    if not sets.where(F.col("size") > region).isEmpty():
+    if not large.isEmpty():
         links = links_of_large_regions(sets.where(F.col("size") > region), percent, cell=region)
         roots = roots.union(connected_components(links))
     return members, persisted(roots)
