@@ -23,6 +23,8 @@ from .common import persisted, table
 
 #: Largest share of good documents that a stratum may lose, and the chance that any stratum's bound fails.
 ALPHA, DELTA = 0.02, 0.05
+#: Strata whose cutoffs are broadcast.
+MAX_STRATA = 100_000
 #: Words of the windows in which repeats are sought.
 WINDOW = 8
 #: Cutoffs from lenient to strict.
@@ -136,7 +138,9 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, alp
     scored = persisted(with_signals(staged, [*dict.fromkeys([*keep, "doc_id", "__skein_q_stratum"])]))
     said = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     known = scored.where(~F.col("base_failed")).select("doc_id", F.col("__skein_q_stratum").alias("stratum"), "rung").join(said, "doc_id")
-    cutoffs = certified_rungs(known, alpha, delta).withColumnRenamed("stratum", "__skein_q_stratum")
+    cutoffs = persisted(certified_rungs(known, alpha, delta).withColumnRenamed("stratum", "__skein_q_stratum"))
+    if cutoffs.count() <= MAX_STRATA:  # else they are joined by a shuffle
+        cutoffs = F.broadcast(cutoffs)
     out = scored.join(cutoffs, "__skein_q_stratum", "left").withColumn("cutoff_rung", F.coalesce("cutoff_rung", F.lit(0)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rung") > F.col("cutoff_rung"))).select(*keep, *made)
 
