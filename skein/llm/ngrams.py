@@ -31,7 +31,7 @@ from .texthash import ngram_hashes, word_hashes
 
 BACKOFF, MIN_COUNT = 0.4, 2
 #: N-grams of a partition, about, and of a task's rows.
-BUCKET, FLUSH = 3_000_000, 2_000_000
+BUCKET, FLUSH = 3_000_000, 1_000_000
 #: Words whose counts are broadcast: packed in about 7 bytes, 12 in a worker.
 MAX_WORDS = 12_000_000
 #: Frequent bigrams: entries of a task's summary, occurrences in a task at least, in all at least.
@@ -330,4 +330,6 @@ def _scored_in_rows(docs: DataFrame, unigrams: DataFrame, n_words: int, keep: tu
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stupid_backoff(table(spark, sf_dir, "documents"))
+    """Scores rounded to where the order of addition doesn't show."""
+    out = stupid_backoff(table(spark, sf_dir, "documents"))
+    return out.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)})
