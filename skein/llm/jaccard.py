@@ -46,6 +46,8 @@ FLUSH, BUCKET = 1_000_000, 500_000
 SUMMARY, LOCAL_HOT, HOT = 8192, 4, 256
 #: Sets that one task joins, pivots of a larger region, sets compared with a cell at once.
 REGION, PIVOTS, CELL = 1024, 16, 1024
+#: Pivots, with their sets, that are broadcast at once, about.
+MAX_PIVOTS = 8192
 #: Rows of 16 bytes that are broadcast at most.
 MAX_BROADCAST = 2_000_000
 
@@ -87,13 +89,24 @@ def hot_shingles(docs: DataFrame, words: int, total: int) -> np.ndarray:
 
     def run(batches):
         seen: Counter = Counter()
+        held: list[np.ndarray] = []
+
+        def count():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            seen.update(dict(zip(h[n > 1].tolist(), n[n > 1].tolist(), strict=True)))
+            if len(seen) > 32 * SUMMARY:
+                best = seen.most_common(8 * SUMMARY)
+                seen.clear()
+                seen.update(dict(best))
+
         for batch in batches:
             for block in blocks(batch):
-                sets = shingle_sets(text_bytes(block), words)
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                seen.update(dict(zip(h[n > 1].tolist(), n[n > 1].tolist(), strict=True)))
-                if len(seen) > 32 * SUMMARY:
-                    seen = Counter(dict(seen.most_common(8 * SUMMARY)))
+                held += shingle_sets(text_bytes(block), words)
+                if sum(map(len, held)) > FLUSH:
+                    count()
+        if held:
+            count()
         best = [(h, n) for h, n in seen.most_common(SUMMARY) if n >= LOCAL_HOT]
         yield pa.RecordBatch.from_pydict({"h": pa.array(np.array([h for h, _ in best], dtype=np.uint64).view(np.int64)), "n": pa.array([n for _, n in best], pa.int64())})
 
@@ -441,9 +454,10 @@ def _classed(docs: DataFrame, words: int, percent: int, region: int, max_broadca
 
     sets = persisted(map_arrow(chosen, sets_of, "region bigint, size bigint, node bigint, tokens binary"))
     roots = classes_of_regions(sets.where(F.col("size") <= region), percent)
-    if not large.isEmpty():
-        links = links_of_large_regions(sets.where(F.col("size") > region), percent, cell=region)
-        roots = roots.union(connected_components(links))
+    rounds = -(-large.count() * PIVOTS // MAX_PIVOTS)  # so that the pivots of a round are few enough to broadcast
+    for r in range(rounds):
+        part = sets.where((F.col("size") > region) & (F.pmod(F.xxhash64("region"), F.lit(rounds)) == r))
+        roots = roots.union(connected_components(links_of_large_regions(part, percent, cell=region)))
     return members, persisted(roots)
 
 

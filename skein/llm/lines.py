@@ -30,8 +30,8 @@ from .common import blocks, map_arrow, persisted, table, text_bytes
 BITS_A_LINE, MIN_BITS, MAX_BITS, SHARD_BITS = 8, 1 << 20, 1 << 27, 1 << 20
 #: Filters merged by one task.
 FAN_IN = 64
-#: Frequent keys (16 bytes each) that are broadcast; more are joined instead.
-MAX_BROADCAST_KEYS = 2_000_000
+#: Frequent keys that are broadcast, as a table of 32 bytes each; more are joined instead.
+MAX_BROADCAST_KEYS = 200_000
 SPACE = b" \t\n\x0b\x0c\r"
 
 
