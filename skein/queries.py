@@ -231,8 +231,7 @@ def nbr_first_k(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def ivl_pairs(s: SparkSession, d: str) -> DataFrame:
-    rows = BOUND.frame(s, d, "events").where("user_id < 10")
-    return intervals.overlap_pairs(rows, "s", "t", ["user_id"], width=20)
+    return intervals.overlap_pairs(BOUND.frame(s, d, "events"), "s", "t", ["user_id"], width=20)
 
 
 @_query
