@@ -219,9 +219,7 @@ def nbr_prev_next(s: SparkSession, d: str) -> DataFrame:
 @_query
 def nbr_probe_prev(s: SparkSession, d: str) -> DataFrame:
     rows = BOUND.frame(s, d, "orders")
-    probes = _view(s, d, "orders", where(h["orders.o_orderkey"], "<", 200)).dataframe(ordered=False)
-    found = neighbors.as_of(probes, rows, ["o_custkey"], ["o_orderkey"], name="prev_id")
-    return found.select("o_orderkey", "prev_id")
+    return neighbors.as_of(rows, rows, ["o_custkey"], ["o_orderkey"], name="prev_id").select("o_orderkey", "prev_id")
 
 
 @_query

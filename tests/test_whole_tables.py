@@ -21,3 +21,12 @@ def test_ivl_pairs_of_every_user(spark):
     want = sorted((i, j) for rows in by_user.values() for i, s in rows for j, t in rows if i < j and abs(s - t) < 20)
     got = sorted((r.a_id, r.b_id) for r in queries.QUERIES["ivl_pairs"](spark, DATA).collect())
     assert max(by_user) >= 10 and got == want
+
+
+def test_nbr_probe_prev_of_every_order(spark):
+    by_customer = {}
+    for o, c in table("orders", "o_orderkey, o_custkey"):
+        by_customer.setdefault(c, []).append(o)
+    want = {o: max((p for p in os if p < o), default=None) if c is not None else None for c, os in by_customer.items() for o in os}
+    got = queries.QUERIES["nbr_probe_prev"](spark, DATA).collect()
+    assert len(got) == len(want) > 200 and {r.o_orderkey: r.prev_id for r in got} == want
