@@ -30,3 +30,10 @@ def test_nbr_probe_prev_of_every_order(spark):
     want = {o: max((p for p in os if p < o), default=None) if c is not None else None for c, os in by_customer.items() for o in os}
     got = queries.QUERIES["nbr_probe_prev"](spark, DATA).collect()
     assert len(got) == len(want) > 200 and {r.o_orderkey: r.prev_id for r in got} == want
+
+
+def test_sort_nulls_lowest_of_every_event(spark):
+    rows = table("events", "event_id, case when event_type = 'purchase' then value end")
+    want = [i for i, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))]
+    got = sorted(queries.QUERIES["sort_nulls_lowest"](spark, DATA).collect(), key=lambda r: r.rn)
+    assert [(r.event_id, r.rn) for r in got] == [(i, n) for n, i in enumerate(want, 1)]
