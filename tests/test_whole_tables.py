@@ -37,3 +37,10 @@ def test_sort_nulls_lowest_of_every_event(spark):
     want = [i for i, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))]
     got = sorted(queries.QUERIES["sort_nulls_lowest"](spark, DATA).collect(), key=lambda r: r.rn)
     assert [(r.event_id, r.rn) for r in got] == [(i, n) for n, i in enumerate(want, 1)]
+
+
+def test_comp_chain_of_every_line(spark):
+    rows = table("lineitem", "l_orderkey, l_linenumber, l_extendedprice, l_discount, l_tax")
+    want = sorted((o, n, net := p * (1 - d), net * (1 + t)) for o, n, p, d, t in rows)
+    got = sorted((r.l_orderkey, r.l_linenumber, r.net, r.gross) for r in queries.QUERIES["comp_chain"](spark, DATA).collect())
+    assert got == want
