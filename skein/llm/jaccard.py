@@ -18,6 +18,8 @@ can't divide a corpus; single shingles are its pivots first:
    then outside the region's largest class are compared, in blocks, with each cell
    that the triangle inequality leaves: d(y, p) <= radius(p) + eps. Pairs within
    the largest class need no comparison, since their class is known already.
+   This is one level of pivots: a large cell is cut by a hash into parts that are
+   all compared, not by pivots of its own again.
 
 Within a task a set is compared with all others at once by marking its shingles,
 again only sets outside the largest class, so that a group of copies costs one
