@@ -128,6 +128,10 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, alp
     judged alike. With no labels only base rules reject. A column of ``docs`` with
     the name of a result column is replaced.
 
+    Four signals and the base rules hold for texts of any length. ``sameness`` is a
+    share of the whole text, which grows with length; it is 0 for texts under 50
+    words or over 2000, which it therefore never rejects, however few their words.
+
     The text is read once: rows with their signals are written to the shared store,
     and calibration and verdicts read from there. Counts for each stratum and rung
     are all that the labels leave; they join back as a row for each stratum.
