@@ -27,8 +27,8 @@ from .common import blocks, map_arrow, table
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 8
 #: Windows overlap so that the widest filter sees every place.
 STRIDE = WINDOW - max(WIDTHS) + 1
-#: Sample: languages learned at most (the most frequent), labelled documents of each (about), windows of a document.
-MAX_LANGS, TRAIN_DOCS, TRAIN_WINDOWS = 64, 500, 6
+#: Sample: labelled documents of each language and in all (about), windows of a document.
+TRAIN_DOCS, TRAIN_TOTAL, TRAIN_WINDOWS = 500, 32_000, 6
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.004, 7
 #: Windows that go through the network at once.
 AT_ONCE = 256
@@ -160,22 +160,25 @@ def predict(net: Network, tables, texts: list[str | None]) -> tuple[list[str], l
     return names, [0.0 if n == "und" and (not t or not _LETTER.search(t)) else float(p) for n, p, t in zip(names, prob.max(axis=1), texts, strict=True)]
 
 
-def training_windows(labelled: DataFrame, docs_each: int = TRAIN_DOCS, each: int = TRAIN_WINDOWS) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def training_windows(labelled: DataFrame, docs_each: int = TRAIN_DOCS, each: int = TRAIN_WINDOWS, total: int = TRAIN_TOTAL) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, labels and languages of a sample of rows with doc_id, text and lang.
 
-    The sample is bounded: of each of the ``MAX_LANGS`` most frequent languages about
-    ``docs_each`` documents, picked by a hash of the id, with ``each`` windows spread
-    over the whole text. Only windows come to the driver.
+    The sample is bounded: of every language about ``docs_each`` documents, or its
+    share of ``total`` where that is less, but one at least, picked by a hash of the
+    id, with ``each`` windows spread over the whole text. Only windows come to the
+    driver.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000))
+    counts = {r.lang: r for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()}
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     langs = sorted(counts)
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000))
-    picked = F.lit(False)
-    for lang in langs:
-        picked = picked | ((F.col("lang") == lang) & (place < int(1_000_000 * min(1.0, docs_each / counts[lang]))))
+    docs_each = min(docs_each, max(1, total // len(langs)))
+    # the first place is always below the bound, so that no language is left out by chance
+    bounds = [(lang, max(int(1_000_000 * min(1.0, docs_each / r.n)), r.least + 1)) for lang, r in counts.items()]
+    picked = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound bigint"))
+    sample = known.select("lang", "text", place.alias("place")).join(picked, "lang").where("place < bound")
 
     def run(batch: pa.RecordBatch):
         out, of = [], []
@@ -187,9 +190,10 @@ def training_windows(labelled: DataFrame, docs_each: int = TRAIN_DOCS, each: int
                 of.append(lang)
         return pa.RecordBatch.from_pydict({"lang": pa.array(of, pa.string()), "window": pa.array(out, pa.binary())})
 
-    rows = sorted((r.lang, bytes(r.window)) for r in map_arrow(known.where(picked).select("lang", "text"), run, "lang string, window binary").collect())
+    rows = sorted((r.lang, bytes(r.window)) for r in map_arrow(sample.select("lang", "text"), run, "lang string, window binary").collect())
     x = np.frombuffer(b"".join(w for _, w in rows), dtype=np.uint8).reshape(-1, WINDOW)
-    return x, np.array([langs.index(lang) for lang, _ in rows], dtype=np.int64), langs
+    number = {lang: i for i, lang in enumerate(langs)}
+    return x, np.array([number[lang] for lang, _ in rows], dtype=np.int64), langs
 
 
 def held_out() -> Column:

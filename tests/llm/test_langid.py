@@ -32,3 +32,12 @@ def test_windows_cover_texts():
         x, owner, held = langid.windows_of([t.astype(np.uint8), t.astype(np.uint8)])
         seen = np.concatenate([w[: langid.STRIDE] if i < len(x) // 2 - 1 else w for i, w in enumerate(x[: len(x) // 2])])
         assert (seen[:n] == t).all() and set(owner) == {0, 1}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(n * 100 + i, f"text {i} of language {n}", f"l{n:02}") for n in range(80) for i in range(1 + n % 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for total, most in ((langid.TRAIN_TOTAL, len(rows)), (80, 240)):
+        x, y, langs = langid.training_windows(docs, each=1, total=total)
+        assert langs == [f"l{n:02}" for n in range(80)]
+        assert set(y) == set(range(80)) and len(x) == len(y) <= most
