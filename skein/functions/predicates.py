@@ -89,12 +89,12 @@ def compare(c: Column, op: Op, value) -> Column:
     if value is None:
         return {Op.EQ: c.isNull(), Op.NE: c.isNotNull(), Op.GT: c.isNotNull(), Op.LT: F.lit(False), Op.GE: F.lit(True), Op.LE: c.isNull()}[op]
     v = F.lit(value)
-    none = F.lit(False)
     return {
         Op.EQ: lambda: c.eqNullSafe(v),
         Op.NE: lambda: ~c.eqNullSafe(v),
-        Op.GT: lambda: F.coalesce(c > v, none),
-        Op.GE: lambda: F.coalesce(c >= v, none),
+        # a source can take these, unlike coalesce(c > v, false)
+        Op.GT: lambda: c.isNotNull() & (c > v),
+        Op.GE: lambda: c.isNotNull() & (c >= v),
         Op.LT: lambda: c.isNull() | (c < v),
         Op.LE: lambda: c.isNull() | (c <= v),
     }[op]()
@@ -144,7 +144,7 @@ def compiled(schema: Schema, info: ContainerInfo, e: Expr, strict: bool = True)
     if e.value is not None and not fits(e.value, kind):
         raise QueryError(f"{e.value!r} is not of the type of {info.name}.{name}")
     found = compare(F.col(name), e.op, e.value)
-    return found if variant is None else F.coalesce(F.col("variant") == variant, F.lit(False)) & found
+    return found if variant is None else F.col("variant").eqNullSafe(variant) & found
 
 
 Predicate = Callable[[Column], Column]

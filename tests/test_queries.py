@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from skein import oracles, queries
+from skein.functions.predicates import where
+from skein.plans.view import QuerySpec
 
 DATA = "/root/testdata/sf0.01"
 
@@ -47,3 +49,25 @@ def test_filters_reach_the_scan(spark):
 
 def test_topk_needs_no_global_sort(spark):
     assert "TakeOrderedAndProject" in queries.QUERIES["topk"](spark, DATA)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(
+    "op, pushed",
+    [
+        ("=", "EqualNullSafe(o_totalprice,1000.0)"),
+        ("!=", "Not(EqualNullSafe(o_totalprice,1000.0))"),
+        (">", "IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)"),
+        (">=", "IsNotNull(o_totalprice), GreaterThanOrEqual(o_totalprice,1000.0)"),
+        ("<", "Or(IsNull(o_totalprice),LessThan(o_totalprice,1000.0))"),
+        ("<=", "Or(IsNull(o_totalprice),LessThanOrEqual(o_totalprice,1000.0))"),
+    ],
+)
+def test_every_comparison_reaches_the_scan(spark, op, pushed):
+    view = queries.BOUND.view(spark, DATA, "orders", QuerySpec(where(queries.h["orders.o_totalprice"], op, 1000.0)))
+    plan = view.dataframe(ordered=False)._jdf.queryExecution().executedPlan().toString()
+    assert f"PushedFilters: [{pushed}]" in plan
+
+
+def test_flagship_filters_reach_the_scan(spark):
+    plan = queries.QUERIES["flagship"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualNullSafe(o_orderstatus,F)" in plan and "GreaterThan(o_totalprice,1000.0)" in plan
