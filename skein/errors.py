@@ -35,3 +35,7 @@ class LogError(SkeinError):
 
 class RecoveryError(SkeinError):
     """A snapshot or log that can't be applied."""
+
+
+class StorageError(SkeinError):
+    """A shared folder that is missing."""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..errors import StorageError
 
 #: Schemas of tables that this application has read, so that later reads need no look at a file's footer.
 _schemas: dict[tuple[str, str], StructType] = {}
@@ -21,13 +22,44 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or the warehouse if that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    """A new folder that the driver and all executors see, under ``spark.checkpoint.dir``.
+
+    Without the setting a session in one process gets a folder under its warehouse;
+    any other is refused, since its executors share no folder that is known here.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise StorageError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/skein-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def persisted(df: DataFrame) -> DataFrame:
-    """Writes rows and reads them again, so that later steps don't repeat what made them."""
-    path = shared_folder(df.sparkSession)
+    """Cuts the lineage: writes rows to the shared store and reads them again.
+
+    The files go with ``discard`` or, at the latest, when the application ends.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, at = _located(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skein_folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of frames that ``persisted`` gave; nothing may read them any more."""
+    for df in frames:
+        if path := getattr(df, "_skein_folder", None):
+            files, at = _located(df.sparkSession, path)
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
