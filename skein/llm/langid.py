@@ -181,14 +181,15 @@ def training_windows(labelled: DataFrame, docs_each: int = TRAIN_DOCS, each: int
     sample = known.select("lang", "text", place.alias("place")).join(picked, "lang").where("place < bound")
 
     def run(batch: pa.RecordBatch):
-        out, of = [], []
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            t = prepared(text)
-            last = max(0, len(t) - WINDOW)
-            for s in sorted({last * i // max(1, each - 1) for i in range(each)}):
-                out.append(t[s : s + WINDOW].tobytes().ljust(WINDOW))
-                of.append(lang)
-        return pa.RecordBatch.from_pydict({"lang": pa.array(of, pa.string()), "window": pa.array(out, pa.binary())})
+        for block in blocks(batch):
+            out, of = [], []
+            for lang, text in zip(block.column("lang").to_pylist(), block.column("text").to_pylist(), strict=True):
+                t = prepared(text)
+                last = max(0, len(t) - WINDOW)
+                for s in sorted({last * i // max(1, each - 1) for i in range(each)}):
+                    out.append(t[s : s + WINDOW].tobytes().ljust(WINDOW))
+                    of.append(lang)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(of, pa.string()), "window": pa.array(out, pa.binary())})
 
     rows = sorted((r.lang, bytes(r.window)) for r in map_arrow(sample.select("lang", "text"), run, "lang string, window binary").collect())
     x = np.frombuffer(b"".join(w for _, w in rows), dtype=np.uint8).reshape(-1, WINDOW)

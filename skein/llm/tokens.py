@@ -2,9 +2,10 @@
 
 A text is split into pre-tokens as the tokenizer would. Most of them are a few
 frequent strings, whose lengths are in a broadcast table of bounded size; the
-rest is encoded once and kept in a bounded cache of the worker. No pre-token
-takes part in a shuffle. The tables only save work: with any of them empty the
-counts are the same.
+rest is encoded once and kept in a bounded cache of the worker. The pre-tokens of
+texts are never shuffled; of each task a summary of ``SUMMARY`` frequent words goes
+up a tree of merges, to fill the first tier. The tables only save work: with any of
+them empty the counts are the same.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, table
+from .common import blocks, map_arrow, map_batches, merged_in_tree, table
 
 #: Entries of the broadcast table, of a task's summary, and of a worker's cache.
 FREQUENT, SUMMARY, CACHE = 50_000, 4_000, 400_000
@@ -95,33 +97,48 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def frequent_words(docs: DataFrame, top: int = FREQUENT, summary: int = SUMMARY) -> DataFrame:
-    """The most frequent white-space words of all texts: word, n.
+def frequent_words(docs: DataFrame, top: int = FREQUENT, summary: int = SUMMARY) -> list[str]:
+    """The most frequent white-space words of all texts.
 
-    Each task counts its own words and passes on its ``summary`` most frequent, so
-    that what is summed grows with tasks and not with words. Counts are lower
+    Each task counts its own words and passes on its ``summary`` most frequent as one
+    row; rows are merged in a tree, the ``top`` most frequent of each merge passing on,
+    so that no task holds more than the words of ``FAN_IN`` rows. Counts are lower
     bounds, which is enough to fill a lookup table.
     """
+    kind = pa.schema([("all", pa.int32()), ("task", pa.int32()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+    schema = "all int, task int, words array<string>, n array<bigint>"
+
+    def row(task: int, best: list[tuple[str, int]]) -> dict:
+        return {"all": [0], "task": [task], "words": [[w for w, _ in best]], "n": [[n for _, n in best]]}
 
     def run(batches):
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    seen.update(text.lower().split())
-            if len(seen) > 60 * summary:  # keep what can still matter
-                seen = Counter(dict(seen.most_common(20 * summary)))
-        best = seen.most_common(summary)
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in best], pa.string()), "n": pa.array([n for _, n in best], pa.int64())})
+            for block in blocks(batch):
+                for text in block.column("text").to_pylist():
+                    if text:
+                        seen.update(text.lower().split())
+                if len(seen) > 60 * summary:  # keep what can still matter
+                    seen = Counter(dict(seen.most_common(20 * summary)))
+        yield pa.RecordBatch.from_pydict(row(TaskContext.get().partitionId(), seen.most_common(summary)), schema=kind)
+
+    def merged(t: pa.Table) -> pa.Table:
+        seen: Counter = Counter()
+        for words, n in zip(t.column("words").to_pylist(), t.column("n").to_pylist(), strict=True):
+            for w, k in zip(words, n, strict=True):
+                seen[w] += k
+        best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:top]
+        return pa.table(row(t.column("task")[0].as_py(), best), schema=kind)
 
-    counted = docs.select("text").mapInArrow(run, "word string, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top)
+    parts = map_batches(docs.select("text"), run, schema)
+    found = merged_in_tree(parts, ["all"], merged, schema, docs.rdd.getNumPartitions()).select("words").collect()
+    return [w for r in found for w in r.words]
 
 
 def frequent_lengths(docs: DataFrame, raw: bytes, top: int = FREQUENT) -> dict[str, int]:
     """Pre-token to number of tokens, for at most ``top`` of them: the first tier."""
     split, _ = splitter(raw)
-    words = [r.word for r in frequent_words(docs, top).collect()]
+    words = frequent_words(docs, top)
     found = list(dict.fromkeys(p for w in words for part in split.pretokens_of(w) for p in part))[:top]
     return dict(zip(found, split.lengths(found), strict=True))
 

@@ -41,7 +41,7 @@ def test_counts_of_any_text(text):
 
 def test_frequent_words_cover_all_texts(spark):
     docs = spark.createDataFrame([(i, "the the rare%d" % i) for i in range(50)], "doc_id bigint, text string")
-    assert [(r.word, r.n) for r in tokens.frequent_words(docs, top=1).collect()] == [("the", 100)]
+    assert tokens.frequent_words(docs, top=1) == ["the"] and len(tokens.frequent_words(docs.repartition(9), top=99)) == 51
 
 
 def test_empty_tables(nothing):
