@@ -1,36 +1,33 @@
 """Line deduplication with two Bloom filters.
 
-Pass one puts the hash of each distinct line key of a document into a filter of
-keys seen once, or, if the key was there, into a filter of keys seen twice. Tasks
-do so apart; merging two pairs of filters sets the bits of ``twice`` that are set
-in either ``twice`` or in both ``once``, so that a key in two documents is always
-in the merged ``twice``. Pass two shuffles only keys that are in it, summed by
-task, for the exact count of documents and the first occurrence. Pass three
-drops lines, as a map.
-
-Filters are merged in shards by a tree of bounded fan-in, and what is broadcast
-is one filter of at most ``MAX_BITS`` bits. Where lines outnumber that, the filter
-fills up and more keys than needed are counted exactly; results stay the same.
+A task keeps one record of each distinct key of its lines: how many of its documents
+have it, and the first place. Records go once, about 40 bytes each, to the range of
+hashes that theirs falls into. There, one filter holds the hashes seen once and one
+those seen twice; of the records, only suspects, whose hash is in the second filter,
+shuffle on to the exact count of documents and the first occurrence. Lines that
+nobody else has end at the filters. A last pass over the texts drops lines.
+
+Filters are cut by range because one for all lines of a large corpus fits neither a
+broadcast nor a task; a range has about ``RANGE_LINES`` lines whatever the corpus'
+size, so that filters never fill up.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, persisted, table, text_bytes
+from .common import blocks, map_arrow, map_batches, map_groups, persisted, table, text_bytes
 
-#: Bits of a filter for each line, at least and at most in all (16 MB), and of a shard.
-BITS_A_LINE, MIN_BITS, MAX_BITS, SHARD_BITS = 8, 1 << 20, 1 << 27, 1 << 20
-#: Filters merged by one task.
-FAN_IN = 64
-#: Frequent keys that are broadcast, as a table of 32 bytes each; more are joined instead.
+#: Lines of a range of hashes, about, and bits of each of its filters.
+RANGE_LINES, FILTER_BITS = 1 << 20, 1 << 23
+#: Records that a range puts into its filters at once, and keys that a task gathers.
+AT_ONCE, GATHER = 1 << 17, 300_000
+#: Frequent keys that are broadcast, as a table of 16 bytes each and their first place; more are joined instead.
 MAX_BROADCAST_KEYS = 200_000
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -39,122 +36,113 @@ def line_key(line: bytes) -> bytes:
     return line.strip(SPACE).lower()  # bytes.lower is that of ASCII
 
 
+def _long(key: bytes, least: int) -> bool:
+    return len(key) >= least and (least <= 1 or len(key.decode("utf-8", "replace")) >= least)
+
+
 def _digests(keys: list[bytes]) -> np.ndarray:
     """Two signed 64-bit halves of the 128-bit hash of each key."""
     raw = b"".join(map(xxhash.xxh3_128_digest, keys))
     return np.frombuffer(raw, dtype=">i8").astype(np.int64).reshape(-1, 2)
 
 
-def _places(high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    u = high.view(np.uint64)
+def _listed(texts: list[bytes], min_length: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Text, line and key of all lines that have one."""
+    of, line, keys = [], [], []
+    for d, text in enumerate(texts):
+        for i, k in enumerate(map(line_key, text.split(b"\n"))):
+            if _long(k, min_length):
+                of.append(d)
+                line.append(i)
+                keys.append(k)
+    return of, line, keys
+
+
+def _places(hi: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    u = hi.view(np.uint64)
     return (u & np.uint64(bits - 1)).astype(np.int64), ((u >> np.uint64(33)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _pack(positions: np.ndarray) -> bytes:
-    flags = np.zeros(SHARD_BITS, dtype=np.uint8)
-    flags[positions] = 1
-    return zstandard.compress(np.packbits(flags).tobytes(), 1)
+def suspects(hi: np.ndarray, n: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+    """Which records (hash, documents) may share their hash with another or count twice themselves: a superset of those."""
+    once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
 
+    def put(h: np.ndarray, n: np.ndarray) -> None:
+        a, b = _places(h, bits)
+        again = (once[a] & once[b]) | (n > 1)
+        twice[a[again]] = twice[b[again]] = True
+        once[a] = once[b] = True
 
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
+    for at in range(0, len(hi), AT_ONCE):
+        h, k = hi[at : at + AT_ONCE], n[at : at + AT_ONCE]
+        first = np.zeros(len(h), dtype=bool)
+        first[np.unique(h, return_index=True)[1]] = True
+        put(h[first], k[first])
+        put(h[~first], k[~first])
+    a, b = _places(hi, bits)
+    return twice[a] & twice[b]
 
 
-def seen_twice(docs: DataFrame, bits: int, min_length: int = 1) -> np.ndarray:
-    """The merged filter of keys in two documents or more; ``bits`` is a power of two."""
+def key_records(docs: DataFrame, ranges: int, min_length: int) -> DataFrame:
+    """range, hi, lo (the key's hash), n (documents of the task that have it), and doc_id, line of its first place, for each key of a task."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        seen = np.zeros(bits, dtype=np.uint8)  # 1: in the first filter, 2: in the second
-
-        def put(high):
-            a, b = _places(high, bits)
-            old = seen[a] & seen[b] & 1 > 0
-            for p in (a, b):
-                seen[p[old]] |= 2
-                seen[p] |= 1
+        half, ids, at, line, size, before = [], [], [], [], 0, 0
+
+        def flush():
+            h, doc, where = np.concatenate(half), np.concatenate(at), np.concatenate(line)
+            own = pa.concat_arrays(ids)
+            rank = np.asarray(pc.rank(own, null_placement="at_start", tiebreaker="dense"))
+            order = np.lexsort((where, rank[doc], h[:, 1], h[:, 0]))
+            h, doc, where = h[order], doc[order], where[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]).any(axis=1)
+            start = np.flatnonzero(new)
+            h = h[start]
+            of = (h[:, 1].view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+            n = np.diff(np.append(start, len(new)))
+            return pa.RecordBatch.from_pydict({"range": pa.array(of), "hi": pa.array(h[:, 0]), "lo": pa.array(h[:, 1]), "n": pa.array(n), "doc_id": own.take(pa.array(doc[start])), "line": pa.array(where[start])})
 
         for batch in batches:
             for block in blocks(batch):
-                # a document's distinct keys; of keys that several documents of a block share, the first copy is put before the rest
-                keys = [list({k for k in map(line_key, t.split(b"\n")) if _long(k, min_length)}) for t in text_bytes(block)]
-                high = _digests([k for ks in keys for k in ks])[:, 0]
-                first = np.zeros(len(high), dtype=bool)
-                first[np.unique(high, return_index=True)[1]] = True
-                put(high[first])
-                put(high[~first])
-        for shard in range(max(1, bits // SHARD_BITS)):
-            part = slice(shard * SHARD_BITS, (shard + 1) * SHARD_BITS)
-            at = np.flatnonzero(seen[part])
-            if len(at):
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "task": pa.array([_task()], pa.int32()), "once": pa.array([_pack(at)], pa.binary()), "twice": pa.array([_pack(np.flatnonzero(seen[part] & 2))], pa.binary())})
-
-    def merged(t: pa.Table) -> pa.Table:
-        once, twice = np.zeros(SHARD_BITS // 8, np.uint8), np.zeros(SHARD_BITS // 8, np.uint8)
-        for a, b in zip(t.column("once"), t.column("twice"), strict=True):
-            a = _unpack(a.as_py())
-            twice |= _unpack(b.as_py()) | (once & a)
-            once |= a
-        return pa.table({"shard": t.column("shard")[:1], "task": pa.array([t.column("task")[0].as_py()], pa.int32()), "once": pa.array([zstandard.compress(once.tobytes(), 1)], pa.binary()), "twice": pa.array([zstandard.compress(twice.tobytes(), 1)], pa.binary())})
-
-    schema = "shard int, task int, once binary, twice binary"
-    parts = docs.select("text").mapInArrow(run, schema)
-    width = FAN_IN
-    tasks = docs.rdd.getNumPartitions()
-    while True:
-        parts = parts.groupBy("shard", F.floor(F.col("task") / width).cast("int")).applyInArrow(merged, schema)
-        if width >= tasks:
-            break
-        width *= FAN_IN
-    out = np.zeros(max(bits, SHARD_BITS) // 8, np.uint8)
-    for r in parts.select("shard", "twice").collect():  # MAX_BITS bits at most
-        out[r.shard * SHARD_BITS // 8 : (r.shard + 1) * SHARD_BITS // 8] = _unpack(r.twice)
-    return out
-
-
-def _task() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
-def _long(key: bytes, least: int) -> bool:
-    return len(key) >= least and (least <= 1 or len(key.decode("utf-8", "replace")) >= least)
-
-
-def _suspect(filter_bytes: np.ndarray, high: np.ndarray, bits: int) -> np.ndarray:
-    a, b = _places(high, bits)
-    bit = lambda p: filter_bytes[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1
-    return (bit(a) & bit(b)).astype(bool)
+                doc, places, keys = [], [], []
+                for d, text in enumerate(text_bytes(block), before):
+                    found: dict[bytes, int] = {}
+                    for i, k in enumerate(map(line_key, text.split(b"\n"))):
+                        if _long(k, min_length):
+                            found.setdefault(k, i)
+                    doc += [d] * len(found)
+                    places += found.values()
+                    keys += found
+                half.append(_digests(keys))
+                ids.append(block.column("doc_id"))
+                at.append(np.array(doc, dtype=np.int64))
+                line.append(np.array(places, dtype=np.int64))
+                before += block.num_rows
+                size += len(keys)
+                if size >= GATHER:
+                    yield flush()
+                    half, ids, at, line, size, before = [], [], [], [], 0, 0
+        if size:
+            yield flush()
+
+    return map_batches(docs.select("doc_id", "text"), run, f"range bigint, hi bigint, lo bigint, n bigint, doc_id {kind}, line bigint")
 
 
 def frequent_lines(docs: DataFrame, min_docs: int, min_length: int = 1) -> DataFrame:
     """hi, lo (the key's hash), n_docs, and first_doc, first_line of the keys in ``min_docs`` documents or more (2 at least)."""
-    spark = docs.sparkSession
     if min_docs < 2:
         raise ValueError("min_docs is 2 or more")
-    lines = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 1
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (BITS_A_LINE * int(lines) - 1).bit_length()))
-    shared = spark.sparkContext.broadcast(seen_twice(docs, bits, min_length))
+    lines = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    records = key_records(docs, max(1, -(-int(lines) // RANGE_LINES)), max(1, min_length))
 
-    def run(batch: pa.RecordBatch):
-        for block in blocks(batch):
-            doc, line, keys = [], [], []
-            for d, text in zip(block.column("doc_id").to_pylist(), text_bytes(block), strict=True):
-                found: dict[bytes, int] = {}
-                for i, k in enumerate(map(line_key, text.split(b"\n"))):
-                    if _long(k, min_length):
-                        found.setdefault(k, i)
-                doc += [d] * len(found)
-                line += found.values()
-                keys += found
-            half = _digests(keys)
-            on = _suspect(shared.value, half[:, 0], bits)
-            at = np.flatnonzero(on)
-            yield pa.RecordBatch.from_pydict({"hi": pa.array(half[on, 0]), "lo": pa.array(half[on, 1]), "doc_id": pa.array([doc[i] for i in at], pa.int64()), "line": pa.array([line[i] for i in at], pa.int64())})
-
-    seen = map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "hi bigint, lo bigint, doc_id bigint, line bigint")
-    first = F.min(F.struct("doc_id", "line"))
-    found = seen.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), first.alias("first")).where(F.col("n_docs") >= min_docs)
+    def picked(t: pa.Table) -> pa.Table:
+        return t.filter(pa.array(suspects(t.column("hi").to_numpy(), t.column("n").to_numpy()))).drop_columns(["range"])
+
+    seen = map_groups(docs.sparkSession, records.groupBy("range"), picked, f"hi bigint, lo bigint, n bigint, doc_id {kind}, line bigint")
+    found = seen.groupBy("hi", "lo").agg(F.sum("n").alias("n_docs"), F.min(F.struct("doc_id", "line")).alias("first")).where(F.col("n_docs") >= min_docs)
     return found.select("hi", "lo", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
@@ -162,48 +150,55 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1
     """``docs`` without the lines whose key is in ``min_docs`` documents or more.
 
     A key is the line without ASCII white space at its ends, A-Z in lower case;
-    keys under ``min_length`` code points are left alone. ``text`` becomes the lines
-    left, joined by \\n; ``n_lines`` (before) and ``n_dropped`` are added and replace
-    columns of those names. Null or empty text is one empty line, stays as it is
-    (null: null) and loses nothing. With ``keep_first`` the occurrence of least
-    (doc_id, line) stays. Rows are documents: a repeated row counts as one more
-    document. All other columns are carried; the row order isn't kept.
+    keys under ``min_length`` code points (1 at least) are left alone. ``text``
+    becomes the lines left, joined by \\n; ``n_lines`` (before) and ``n_dropped`` are
+    added and replace columns of those names. Null or empty text is one empty line,
+    stays as it is (null: null) and loses nothing. With ``keep_first`` the occurrence
+    of least (doc_id, line) stays, nulls first. Rows are documents: a repeated row
+    counts as one more document. doc_id has any type that has an order. All other
+    columns are carried; the row order isn't kept.
     """
     docs = docs.drop("n_lines", "n_dropped")
     spark: SparkSession = docs.sparkSession
-    frequent = persisted(frequent_lines(docs.select("doc_id", "text"), min_docs, min_length))
+    least = max(1, min_length)
+    frequent = frequent_lines(docs, min_docs, min_length)
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_lines bigint", "n_dropped bigint"]
-    if frequent.count() > broadcast_keys:
-        return _drop_joined(docs, frequent, min_length, keep_first, columns)
-    rows = frequent.collect()
-    table_ = np.array([(r.hi, r.lo, -1 if r.first_doc is None else r.first_doc, r.first_line) for r in rows], dtype=np.int64).reshape(-1, 4)
-    shared = spark.sparkContext.broadcast(table_[np.argsort(table_[:, 0], kind="stable")])
-
-    lookup: dict[tuple[int, int], tuple[int, int]] = {}  # filled once in each task
+    rows = frequent.limit(broadcast_keys + 1).collect()
+    if len(rows) > broadcast_keys:
+        return _drop_joined(docs, persisted(frequent), least, keep_first, columns)
+    rows = sorted(rows, key=lambda r: (r.hi, r.lo))
+    hashes = np.array([(r.hi, r.lo) for r in rows], dtype=np.int64).reshape(-1, 2)
+    shared = spark.sparkContext.broadcast((hashes, [(r.first_doc, r.first_line) for r in rows] if keep_first else []))
 
     def run(batch: pa.RecordBatch):
-        if not lookup:
-            lookup.update(((a, b), (c, d)) for a, b, c, d in shared.value.tolist())
+        known, first = shared.value
         for block in blocks(batch):
             texts = text_bytes(block)
-            drops = []
-            for d, text in zip(block.column("doc_id").to_pylist(), texts, strict=True):
-                drops.append(_drops(text, d, lookup, min_length, keep_first))
+            of, line, keys = _listed(texts, least)
+            drops: list[set[int]] = [set() for _ in texts]
+            ids = block.column("doc_id").to_pylist() if keep_first else []
+            for i, j in _met(known, _digests(keys)):
+                if not (keep_first and first[j] == (ids[of[i]], line[i])):
+                    drops[of[i]].add(line[i])
             yield _rewritten(block, texts, drops)
 
     return map_arrow(docs, run, ", ".join(columns))
 
 
-def _drops(text: bytes, doc, lookup: dict, min_length: int, keep_first: bool) -> set[int]:
-    at, keys = [], []
-    for i, k in enumerate(map(line_key, text.split(b"\n"))):
-        if _long(k, min_length):
-            at.append(i)
-            keys.append(k)
-    if not keys or not lookup:
-        return set()
-    found = [lookup.get(x) for x in map(tuple, _digests(keys).tolist())]
-    return {i for i, f in zip(at, found, strict=True) if f and not (keep_first and f == (doc, i))}
+def _met(known: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """Places in ``own`` of hashes that are among ``known`` (sorted), and their places there."""
+    if not len(known) or not len(own):
+        return []
+    out = []
+    at = np.searchsorted(known[:, 0], own[:, 0])
+    for i in np.flatnonzero(known[np.minimum(at, len(known) - 1), 0] == own[:, 0]).tolist():
+        j = int(at[i])
+        while j < len(known) and known[j, 0] == own[i, 0]:
+            if known[j, 1] == own[i, 1]:
+                out.append((i, j))
+                break
+            j += 1
+    return out
 
 
 def _rewritten(block: pa.RecordBatch, texts: list[bytes], drops: list[set[int]]) -> pa.RecordBatch:
@@ -219,23 +214,21 @@ def _rewritten(block: pa.RecordBatch, texts: list[bytes], drops: list[set[int]])
 
 def _drop_joined(docs: DataFrame, frequent: DataFrame, min_length: int, keep_first: bool, columns: list[str]) -> DataFrame:
     """The same where the frequent keys are too many to broadcast: lines meet them in a shuffle."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def listed(batch: pa.RecordBatch):
         for block in blocks(batch):
-            for i, text in enumerate(text_bytes(block)):
-                pairs = [(j, k) for j, k in enumerate(map(line_key, text.split(b"\n"))) if _long(k, min_length)]
-                half = _digests([k for _, k in pairs])
-                n = len(pairs)
-                same = block.slice(i, 1)
-                yield pa.RecordBatch.from_pydict({"__skein_d": pa.array(same.column("doc_id").to_pylist() * n, pa.int64()), "__skein_h": pa.array(same.column("__skein_h").to_pylist() * n, pa.int64()), "line": pa.array([j for j, _ in pairs], pa.int64()), "hi": pa.array(half[:, 0]), "lo": pa.array(half[:, 1])})
-
-    keyed = docs.withColumn("__skein_h", F.xxhash64("text")).withColumn("__skein_d", F.col("doc_id").cast("bigint"))
-    lines = map_arrow(keyed.select(F.col("__skein_d").alias("doc_id"), "text", "__skein_h").dropDuplicates(["doc_id", "__skein_h"]), listed, "__skein_d bigint, __skein_h bigint, line bigint, hi bigint, lo bigint")
+            of, line, keys = _listed(text_bytes(block), min_length)
+            half, of = _digests(keys), pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_pydict({"__skein_d": block.column("doc_id").take(of), "__skein_h": block.column("__skein_h").take(of), "line": pa.array(line, pa.int64()), "hi": pa.array(half[:, 0]), "lo": pa.array(half[:, 1])})
+
+    keyed = docs.withColumn("__skein_h", F.xxhash64("text"))
+    lines = map_arrow(keyed.select("doc_id", "text", "__skein_h").dropDuplicates(["doc_id", "__skein_h"]), listed, f"__skein_d {kind}, __skein_h bigint, line bigint, hi bigint, lo bigint")
     hit = lines.join(frequent, ["hi", "lo"])
     if keep_first:
         hit = hit.where(~(F.col("__skein_d").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
     drops = hit.groupBy("__skein_d", "__skein_h").agg(F.collect_set("line").alias("__skein_drop")).withColumnsRenamed({"__skein_d": "__skein_d2", "__skein_h": "__skein_h2"})
-    joined = keyed.join(drops, F.col("__skein_d").eqNullSafe(F.col("__skein_d2")) & (F.col("__skein_h") == F.col("__skein_h2")), "left").select(*docs.columns, "__skein_drop")
+    joined = keyed.join(drops, F.col("doc_id").eqNullSafe(F.col("__skein_d2")) & (F.col("__skein_h") == F.col("__skein_h2")), "left").select(*docs.columns, "__skein_drop")
 
     def run(batch: pa.RecordBatch):
         for block in blocks(batch):
@@ -250,10 +243,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-_KEYS = "select doc_id, i, l, translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)"
+_KEYED = "select r, doc_id, i, l, translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from (select r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from (select row_number() over () as r, doc_id, text from documents))"
 OP5_SQL = f"""
-with k as ({_KEYS}), bad as (select k from k where k <> '' group by k having count(distinct doc_id) >= 10)
+with k as ({_KEYED}), bad as (select k from k where k <> '' group by k having count(distinct r) >= 10)
 select doc_id, count(*) as n_lines, count(*) filter (where k in (select k from bad)) as n_dropped,
   sha256(coalesce(string_agg(l, chr(10) order by i) filter (where k not in (select k from bad)), '')) as kept_sha256
-from k group by doc_id
+from k group by r, doc_id
 """

@@ -2,6 +2,7 @@ import os
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from skein.llm import lines, queries
@@ -32,14 +33,29 @@ def test_against_brute_force(spark, sample, keep_first, limit):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got), key=str) == brute(rows, 3, keep_first)
 
 
-def test_a_full_filter_loses_nothing(spark, sample, monkeypatch):
-    for name in ("MIN_BITS", "MAX_BITS"):
-        monkeypatch.setattr(lines, name, 1 << 6)
-    rows = [(r.doc_id, r.text) for r in sample.collect()]
-    found = lines.frequent_lines(sample, 3).count()
-    monkeypatch.undo()
-    assert found == lines.frequent_lines(sample, 3).count() > 0
-    assert len(rows) == 200
+def test_a_full_filter_loses_nothing():
+    rng = np.random.default_rng(1)
+    hi = rng.integers(-(1 << 63), 1 << 63, 4000)
+    hi = np.concatenate([hi, hi[:50], hi[:20]])
+    n = np.where(np.arange(len(hi)) % 97 == 0, 2, 1)
+    names, count = np.unique(hi, return_counts=True)
+    repeated = np.isin(hi, names[count > 1]) | (n > 1)
+    for bits, share in ((1 << 23, 0.05), (1 << 6, 1.0)):
+        got = lines.suspects(hi, n, bits)
+        assert got[repeated].all() and got.mean() <= share
+
+
+def test_ranges_give_the_same(spark, sample, monkeypatch):
+    want = sorted(tuple(r) for r in lines.frequent_lines(sample, 3).collect())
+    monkeypatch.setattr(lines, "RANGE_LINES", 40)
+    assert want and want == sorted(tuple(r) for r in lines.frequent_lines(sample, 3).collect())
+
+
+@pytest.mark.parametrize("limit", [lines.MAX_BROADCAST_KEYS, 0])
+def test_ids_of_other_types(spark, limit):
+    docs = spark.createDataFrame([("b", "x\ny"), ("a", "z\nX"), (None, "q"), ("c", "\n".join(["x"] * 3000))], "doc_id string, text string")
+    got = {r.doc_id: r.text for r in lines.drop_frequent_lines(docs, 2, keep_first=True, broadcast_keys=limit).collect()}
+    assert got == {"a": "z\nX", "b": "y", None: "q", "c": ""}
 
 
 def test_odd_tables(odd, nothing):
