@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from skein.llm import decontaminate as D
 
 
@@ -13,7 +15,9 @@ def edits(p, t):
     return min(prev)
 
 
-def test_nothing_within_the_budget_is_lost():
+@pytest.mark.parametrize("held", [D.MAX_HITS, 40])
+def test_nothing_within_the_budget_is_lost(monkeypatch, held):
+    monkeypatch.setattr(D, "MAX_HITS", held)  # however few shared q-grams may be held
     rng = random.Random(3)
     hits = 0
     for _ in range(250):
@@ -51,6 +55,27 @@ def test_rows(spark, odd, nothing, sample):
     assert D.find_leaks(sample, items.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_frequent_qgrams(monkeypatch):
+    """Texts and passages of one repeated q-gram share the square of their length."""
+    items = [(i, "ab" * (30 + i)) for i in range(6)] + [(9, "a" * 300)]
+    texts = [D.normalized(t) for t in ("ab" * 400, "a" * 500 + "ab" * 33, "zz " + "ab" * 31 + " zz", "none")]
+    want = D.Passages.build(items).search(texts)
+    for held in (100, 1000):
+        monkeypatch.setattr(D, "MAX_HITS", held)
+        assert D.Passages.build(items).search(texts) == want
+    assert len(want[0]) == 6 and want[3] == {} and 6 in want[1]
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_chars": 20}, {"max_chars": 20, "max_broadcast": 0}])
+def test_ids_of_other_types(spark, limits):
+    docs = spark.createDataFrame([("a", "the quick brown fox and a lazy dog", 1), (None, "lazy dog in the quick brown fox", 2), ("b", None, 3)], "doc_id string, text string, leaks int")
+    items = spark.createDataFrame([("x2", "quick brown fox"), ("x1", "lazy dog"), (None, "lazy dog")], "item_id string, text string")
+    got = {r.doc_id: [(x["item_id"], x["edits"]) for x in r.found] for r in D.find_leaks(docs, items, name="found", **limits).collect()}
+    every = {("x1", 0), ("x2", 0), (None, 0)}
+    assert {k: set(v) for k, v in got.items()} == {"a": every, None: every, "b": set()}
+    assert D.find_leaks(docs, items, name="found").columns == ["doc_id", "text", "leaks", "found"]
+
+
 def test_exact_passages(spark):
     d = "/root/testdata/sf0.01"
     items = [(r.item_id, D.normalized(r.text)) for r in spark.read.parquet(d + "/benchmark.parquet").collect()]
