@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,29 +28,35 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Public licence notices and their labels.
-TEMPLATES = {
-    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
-        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
-        permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
-        notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
-    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-        the following conditions are met: Redistributions of source code must retain the above copyright notice, this list
-        of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
-        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
-        with the distribution.""",
-    "apache": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+#: Public licence notices, by label and name.
+NOTICES = {
+    "apache/notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
         Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
         an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
-    "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+    "gpl/notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
         Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
         any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
         even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
-    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+    "lgpl/notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your
+        option) any later version.""",
+    "agpl/notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version.""",
+    "mpl/notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "mit/grant": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+        permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
+        notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "isc/grant": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa/notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc/notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd/notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
 }
 
 #: Words of a match that is chained at least, words between two matches of a chain at most, and share of a template that makes a label.
@@ -62,6 +69,13 @@ def words(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
+def whole_texts() -> dict[str, str]:
+    """The licence texts that come with the package, by label and version; labels end where the version or number of clauses begins."""
+    files = sorted(resources.files(__package__).joinpath("licences").iterdir(), key=lambda f: f.name)
+    names = {f: f.name.removesuffix(".txt") for f in files if f.name.endswith(".txt")}
+    return {f"{re.sub('-[0-9].*', '', name)}/{name}": f.read_text("utf-8") for f, name in names.items()}
+
+
 @dataclass
 class Scanner:
     """The automaton of some phrases and templates."""
@@ -82,9 +96,9 @@ class Scanner:
         for text, label in phrases.items():
             texts.append(w := words(text.encode()))
             s.phrases.append((label, len(w)))
-        for label, text in templates.items():
+        for name, text in templates.items():
             texts.append(w := words(text.encode()))
-            s.templates.append((label, len(w)))
+            s.templates.append((name.partition("/")[0], len(w)))
         own: dict[int, list[int]] = defaultdict(list)
         for n, w in enumerate(texts):
             last = 0
@@ -99,7 +113,8 @@ class Scanner:
             own[state].append(n)
         order = sorted(range(len(s.size)), key=s.size.__getitem__)
         for v in reversed(order[1:]):  # what ends with a state's strings ends with those of its link
-            s.ends[s.link[v]] += s.ends[v]
+            if s.size[s.link[v]] >= MIN_MATCH:  # nobody asks for shorter ones
+                s.ends[s.link[v]] += s.ends[v]
         s.ends = [sorted(set(e)) for e in s.ends]
         s.phrase_at = [()] * len(s.size)
         for v in order:
@@ -202,26 +217,30 @@ class Scanner:
         return sorted(closed, key=lambda x: (x[1], x[0]))
 
 
-_scanners: dict[str, Scanner] = {}
+_scanners: dict[int, Scanner] = {}
 
 
 def scanner(phrases: dict[str, str], templates: dict[str, str]) -> Scanner:
-    key = repr((phrases, templates))
+    """The automaton, made once in a worker."""
+    key = hash((*phrases.items(), *templates.items()))
     if key not in _scanners:
         _scanners[key] = Scanner.build(phrases, templates)
     return _scanners[key]
 
 
-def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, min_cover: float = MIN_COVER) -> DataFrame:
+def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), phrases: dict[str, str] = PHRASES, templates: dict[str, str] | None = None, min_cover: float = MIN_COVER) -> DataFrame:
     """``keep``, n_words, n_base (places of phrases), first_word and last_word (their
     least and greatest start, words from 0; null without), base_labels, labels (with
     those of covered templates; sorted, comma-joined), score (the greatest share of a
     template that is covered, 1 for a phrase, 0 without any match) and spans
     (label, first_word, end_word, cover) of chains, for each row; a map.
 
-    A null text is empty and has no words. Repeated rows are scanned alike; other
-    columns are ignored. Phrases and templates are a fixed set held in memory.
+    ``templates`` has texts by names that begin with a label and a slash (the notices
+    and whole texts of this package by default). A null text is empty and has no
+    words. Repeated rows are scanned alike; other columns are ignored. Phrases and
+    templates are a fixed set held in memory.
     """
+    templates = NOTICES | whole_texts() if templates is None else templates
     source = docs.select(*dict.fromkeys((*keep, "text")))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in keep]
     fields += ["n_words bigint", "n_base bigint", "first_word bigint", "last_word bigint", "base_labels string", "labels string", "score double", "spans array<struct<label: string, first_word: bigint, end_word: bigint, cover: double>>"]

@@ -10,8 +10,8 @@ def brute_places(w):
 
 
 def test_matching_statistics():
-    s = L.scanner(L.PHRASES, L.TEMPLATES)
-    texts = [L.words(t.encode()) for t in [*L.PHRASES, *L.TEMPLATES.values()]]
+    s = L.scanner(L.PHRASES, L.NOTICES)
+    texts = [L.words(t.encode()) for t in [*L.PHRASES, *L.NOTICES.values()]]
     parts = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
     rng = random.Random(1)
     for _ in range(100):
@@ -27,16 +27,43 @@ def test_matching_statistics():
 
 
 def test_templates_with_edits():
-    s = L.scanner(L.PHRASES, L.TEMPLATES)
-    for label, text in L.TEMPLATES.items():
+    s = L.scanner(L.PHRASES, L.NOTICES)
+    for name, text in L.NOTICES.items():
         w = L.words(("some words before " + text.replace("copies", "copy") + " and after").encode())
         best = max(s.spans(s.scan(w)[1]), key=lambda x: x[3])
-        assert s.templates[best[0]][0] == label and best[3] > 0.8 and best[1] == 3
+        assert s.templates[best[0]][0] == name.split("/")[0] and best[3] > 0.8 and best[1] == 3
     # a template's words in another order are no span
-    w = L.words(" ".join(reversed(L.TEMPLATES["mit"].split())).encode())
+    w = L.words(" ".join(reversed(L.NOTICES["mit/grant"].split())).encode())
     assert all(c < L.MIN_COVER for *_, c in s.spans(s.scan(w)[1]))
 
 
+def test_whole_texts():
+    texts = L.whole_texts()
+    assert {n.split("/")[0] for n in texts} >= {"mit", "bsd", "isc", "apache", "gpl", "lgpl", "mpl", "cc0", "unlicense", "zlib", "bsl", "artistic"}
+    s = L.scanner(L.PHRASES, L.NOTICES | texts)
+    names = [*L.NOTICES, *texts]
+    for name, text in texts.items():
+        w = L.words(f"one two {text} three".encode())
+        assert any(names[t] == name and (a, z) == (2, len(w) - 1) and c == 1.0 for t, a, z, c in s.spans(s.scan(w)[1])), name
+
+
+def test_spans_of_cuts():
+    """A cut of a template between words that no template has is a span of just these words."""
+    texts = L.whole_texts()
+    s = L.scanner(L.PHRASES, L.NOTICES | texts)
+    names = [*L.NOTICES, *texts]
+    rng = random.Random(4)
+    for name, text in texts.items():
+        t = L.words(text.encode())
+        for _ in range(5):
+            n = rng.randrange(L.MIN_MATCH, len(t) + 1)
+            i = rng.randrange(len(t) - n + 1)
+            w = [b"zzz"] * 4 + t[i : i + n] + [b"zzz"] * 3
+            found = [(a, z) for k, a, z, _ in s.spans(s.scan(w)[1]) if names[k] == name]
+            covers = [c for k, *_, c in s.spans(s.scan(w)[1]) if names[k] == name]
+            assert (4, 4 + n) in found and max(covers) >= n / len(t) - 1e-9
+
+
 def test_rows(spark, odd, sample, nothing):
     for docs in (odd, sample):
         for r in L.scan_licenses(docs, keep=("doc_id", "text")).collect():
