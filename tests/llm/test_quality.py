@@ -48,6 +48,66 @@ def test_good_documents_are_kept(spark):
     assert got[1] >= 1 - 1.5 * Q.ALPHA and got[0] < 0.2
 
 
+def rung_by_hand(text):
+    w, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+    n_words, _, symbols, dup, repeated, _ = expected(text)
+    n = max(1, n_words)
+    distinct = sum(len(set(w[i : i + Q.SAME_WINDOW])) for i in range(0, len(w), Q.SAME_WINDOW))
+    found = {"symbol_rate": symbols / n, "bang_rate": (text or "").count("!") / n, "dup_line_rate": dup / max(1, len(lines)), "repeat_rate": repeated / n, "sameness": (n_words - distinct) / n}
+    return min(next((i for i, c in enumerate(Q.LADDERS[k], 1) if v > c), Q.RUNGS + 1) for k, v in found.items())
+
+
+def tail_by_hand(k, n, p):
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+
+def test_verdicts_by_brute_force(spark):
+    d = "/root/testdata/sf0.1"
+    docs = {r.doc_id: r for r in spark.read.parquet(d + "/documents.parquet").collect()}
+    said = {r.doc_id: r.quality for r in spark.read.parquet(d + "/labels.parquet").collect()}
+    rung = {i: rung_by_hand(r.text) for i, r in docs.items()}
+    failed = {i: expected(r.text)[5] for i, r in docs.items()}
+    once = {}
+    for i, q in said.items():
+        if i in docs and q is not None and not failed[i]:
+            key = (docs[i].lang or "und", docs[i].text)
+            r, good = once.get(key, (99, True))
+            once[key] = (min(r, rung[i]), good and q > 0)
+    strata = {s for s, _ in once}
+    cutoff = {}
+    for s in strata:
+        good = [r for (x, _), (r, g) in once.items() if x == s and g]
+        poor = [r for (x, _), (r, g) in once.items() if x == s and not g]
+        best = (0, 0)
+        for c in range(1, Q.RUNGS + 1):
+            if not good or tail_by_hand(sum(r <= c for r in good), len(good), Q.ALPHA) > Q.DELTA / len(strata):
+                break
+            caught = sum(r <= c for r in poor)
+            best = max(best, (caught, -c)) if caught else best
+        cutoff[s] = -best[1]
+    assert any(cutoff.values())
+    got = {r.doc_id: (r.rung, r.base_failed, r.kept) for r in Q.op4_quality_rules(spark, d).collect()}
+    assert got == {i: (rung[i], failed[i], not failed[i] and rung[i] > cutoff.get(r.lang or "und", 0)) for i, r in docs.items()}
+
+
+def test_a_repeated_row_is_one_trial(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    poor = "one two three four five six seven " * 3 + " ".join(f"w{i} ! !" for i in range(20))
+    rows = [(1, text, "en")] * 300 + [(2, text, "en")] * 300 + [(3, poor, "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id bigint, quality int")
+    judged = Q.judge(docs, labels)
+    assert {r.cutoff_rung for r in judged.collect()} == {0} and not judged.where("not base_failed and not kept").count()
+    scored = judged.select("doc_id", F.lit("en").alias("stratum"), F.xxhash64("text").alias("text_hash"), "rung", "base_failed")
+    assert Q.trials(scored, labels).where("good").count() == 1
+
+
+def test_sameness_has_no_length_switch(spark):
+    few = lambda n: " ".join(f"w{(i * i + i // 7) % 23}x{i // 50}" for i in range(n))  # noqa: E731  23 words at most in each window
+    rungs = {r.rung for r in Q.with_signals(spark.createDataFrame([(n, few(n)) for n in (100, 1950, 2050, 60_000)], "doc_id int, text string")).collect()}
+    assert len(rungs) == 1 and rungs.pop() <= Q.RUNGS
+
+
 def test_odd_tables(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id bigint, quality int")
     out = Q.judge(odd, labels)
