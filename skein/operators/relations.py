@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..errors import ConstraintError
 from ..sources.tables import persisted
 
-#: Rows below which a set of parents is broadcast.
-SMALL = 100_000
-
 
 def children_of(df: DataFrame, fk: str, parents: list) -> DataFrame:
     """Rows whose relation is one of some constants; duplicates don't count twice, and None selects the unattached."""
@@ -40,7 +37,6 @@ def descendants(edges: DataFrame, roots: list[int], max_depth: int = 1000) -> Da
     A join for each level, whose rows are written before the next, so that lineage
     stays short and a lost executor costs one level. A row met twice is kept once.
     """
-    spark = edges.sparkSession
     frontier = edges.where(F.col("id").isin(list(roots))).select("id").withColumn("depth", F.lit(0))
     found = frontier = persisted(frontier.distinct())
     for depth in range(1, max_depth + 1):
@@ -50,7 +46,6 @@ def descendants(edges: DataFrame, roots: list[int], max_depth: int = 1000) -> Da
         if frontier.isEmpty():
             return found
         found = found.union(frontier)
-    del spark
     raise ConstraintError(f"the hierarchy is deeper than {max_depth}")
 
 

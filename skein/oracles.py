@@ -2,6 +2,8 @@
 
 EVENTS = "(select event_id, user_id, event_type, ts, value, case when event_type='purchase' then value end as v from events)"
 
+REGION, NATION, CUSTOMER, NEXT, TURN = 100_000_000, 200_000_000, 300_000_000, 400_000_000, 20_000_000_000
+
 SQL = {
     "flagship": "select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus='F' and o_totalprice>1000 and not (o_orderpriority='1-URGENT') order by o_totalprice desc, o_orderkey limit 10",  # F18 O1 O8
     "scan_table": "select n_nationkey, n_name, n_regionkey from nation",  # S1
@@ -67,4 +69,45 @@ SQL = {
     "set_union_equiv": "select p_partkey from part where p_size<5 union select p_partkey from part where p_retailprice<950",  # §2.7
     "set_except_equiv": "select p_partkey from part except select p_partkey from part where p_size<25",  # §2.7
     "agg_by_list_group_top": "select role, count(*) as n, max(turn) as m from conversations group by role",  # A5 S2
+    # state after transactions and sets of rows
+    "txn_insert": f"select cast(n_nationkey+{NATION} as bigint) as item_id, n_name as name, cast(n_regionkey+{REGION} as bigint) as region from nation union all select cast({NEXT + 1} as bigint), 'LEMURIA', cast({NEXT} as bigint)",  # M1 M2 M9 M18
+    "txn_update_cell": f"select item_id, balance, 2*balance as twice from (select {CUSTOMER}+c_custkey as item_id, case when c_custkey=5 then 1.5 else c_acctbal end as balance from customer) z",  # M6 C11
+    "txn_update_cells": f"select item_id, balance, segment, 2*balance as twice from (select {CUSTOMER}+c_custkey as item_id, case when c_custkey=7 then 2.0 else c_acctbal end as balance, case when c_custkey=7 then 'OTHER' else c_mktsegment end as segment from customer) z",  # M7
+    "txn_remove_cascade": f"select cast({NATION}+n_nationkey as bigint) as item_id from nation where n_nationkey<>3 union all select {CUSTOMER}+c_custkey from customer where c_nationkey<>3",  # M4
+    "txn_rollback": f"select {CUSTOMER}+c_custkey as item_id, c_acctbal as balance from customer",  # M10
+    "txn_failure": f"select {CUSTOMER}+c_custkey as item_id, c_acctbal as balance, 'rolled_back' as state from customer",  # M11 C3
+    "txn_undo": f"select item_id, balance, 2*balance as twice from (select {CUSTOMER}+c_custkey as item_id, case when c_custkey=5 then 1.5 else c_acctbal end as balance from customer) z",  # M12 M13
+    "txn_redo": f"select item_id, balance, 2*balance as twice from (select {CUSTOMER}+c_custkey as item_id, case when c_custkey=5 then 2.5 else c_acctbal end as balance from customer) z",  # M12
+    "txn_history": "select cast(a as integer) as at, cast(u as integer) as undo, cast(r as integer) as redo from (values (1, 2, 1), (2, 3, 0), (3, 3, 0)) v(a, u, r)",  # M13 M14
+    "bulk_insert": f"select cast({NEXT - 1}+row_number() over (order by n_name) as bigint) as item_id, n_name as name, cast(0 as double) as balance, 'NONE' as segment, cast(0 as double) as twice, cast({NATION}+n_nationkey as bigint) as nation from nation",  # M2 C7 C10 C11
+    "bulk_update": f"select item_id, balance, segment, 2*balance as twice from (select {CUSTOMER}+c_custkey as item_id, case when c_mktsegment='BUILDING' then c_acctbal+100 else c_acctbal end as balance, c_mktsegment as segment from customer) z",  # M6 C2
+    "bulk_remove_cascade": f"select cast({NATION}+n_nationkey as bigint) as item_id from nation where n_regionkey<>1 and n_nationkey<>2 union all select {CUSTOMER}+c_custkey from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey=1 or n_nationkey=2)",  # M4
+    "engine_read": f"select {CUSTOMER}+c_custkey as item_id, true as there, c_acctbal as balance from customer where c_custkey=5 union all select cast({CUSTOMER + 1_000_000_000} as bigint), false, null",  # S4 S5 S6
+    "list_transactions": f"select conv_id*1000+turn as item_id, cast(case turn when 1 then 0 when 2 then 1 else turn end as bigint) as list_index, role from conversations where conv_id=3 and turn>=1 union all select {TURN}, 2, 'note'",  # M3 M5 M8
+    "snapshot_round_trip": f"select {CUSTOMER}+c_custkey as item_id, c_name as name, case when c_custkey=5 then 1.5 else c_acctbal end as balance, cast({NATION}+c_nationkey as bigint) as nation from customer where c_custkey<>6",  # S8 S9
+    "log_round_trip": f"select item_id, name, balance, segment, 2*balance as twice from (select {CUSTOMER}+c_custkey as item_id, c_name as name, case c_custkey when 5 then 1.5 when 6 then 2.5 else c_acctbal end as balance, c_mktsegment as segment from customer union all select {NEXT}, 'new 0', 0, 'NONE' union all select {NEXT + 1}, 'new 1', 0, 'NONE') z",  # S10 S11 T5
+    "change_set_codec": f"select item_id, balance, 2*balance as twice from (select {CUSTOMER}+c_custkey as item_id, case when c_custkey=5 then 4.5 else c_acctbal end as balance from customer where c_custkey<>6) z",  # S13 S14 M16
+    "txn_hooks": "select item_id, v as value, 2*v as mirror, 3*v as total from (select cast(row_number() over (order by n_nationkey) as bigint) as item_id, cast(case when row_number() over (order by n_nationkey)=1 then 50 else n_nationkey end as bigint) as v from nation order by n_nationkey limit 5) z",  # U2 U3 U4 U7
+    "txn_events": "select cast(a as integer) as at, s as stage, o as origin, cast(n as integer) as operations from (values (0, 'after_apply', 'normal', 2), (1, 'after_commit', 'normal', 2), (2, 'after_apply', 'undo', 2), (3, 'after_commit', 'undo', 2), (4, 'rollback', 'normal', 0)) v(a, s, o, n)",  # T2 T3 U6
+    # views
+    "view_live": "select count(*) as before, count(*)+1 as after from customer",  # T1
+    "view_count": "select count(*) as n, count(*)-100 as after_offset, cast(7 as bigint) as within_limit from customer",  # A10
+    "view_empty": "select false as rows, true as none, true as past_end",  # A11
+    "view_sort": "select c_custkey, cast(row_number() over (order by c_mktsegment desc, c_acctbal, c_custkey)-1 as bigint) as pos from customer",  # O2
+    "view_offset": "select c_custkey from customer order by c_acctbal desc, c_custkey offset 100",  # O7
+    "view_rows": "select cast(row_number() over (order by c_acctbal desc, c_custkey)-1 as bigint) as pos, c_custkey, c_acctbal from customer order by c_acctbal desc, c_custkey limit 20",  # S15
+    "view_visit": "select c_custkey, c_acctbal from (select * from customer order by c_custkey limit 1000) z where c_custkey<=(select coalesce(min(c_custkey) filter (where c_acctbal<0), max(c_custkey)) from (select * from customer order by c_custkey limit 1000) y)",  # S16 U5
+    "view_aggregate_rows": "select c_mktsegment, count(*) as n from customer group by c_mktsegment",  # S17
+    "variant_field": "select event_id, cast(row_number() over (order by event_type nulls first, case when event_type='purchase' then value end desc nulls last, event_id)-1 as bigint) as pos from events",  # F3 F15 O1
+    # rules
+    "chk_not_null": "select 'null' as rule, 'v' as field, event_id as item_id from events where event_type<>'purchase'",  # C1
+    "chk_unique_nulls": "select case when event_type='purchase' then cast(floor(value) as bigint) end as v, count(*) as n from events group by 1 having count(*)>1",  # C5
+    "chk_variant_rules": "with e as (select case when event_type in ('purchase','view') then event_type end as variant, case when event_type in ('purchase','view') and value>=20 then cast(floor(value) as bigint) end as amount from events) select * from (select 'variant' as rule, 'variant' as field, count(*) as n from e where variant is null union all select 'variant column', 'amount', count(*) from e where variant='view' and amount is not null union all select 'null', 'amount', count(*) from e where variant='purchase' and amount is null union all select 'unique', 'amount', count(*) from (select amount from e where variant='purchase' and amount is not null group by amount having count(*)>1) u) z where n>0",  # C6 C9
+    "chk_python": "select 'check' as rule, c_custkey from customer where not (c_acctbal>0)",  # C2 U1
+    "chk_against_stored": f"select 'unique' as rule, 'name' as field, cast({NEXT}+n_nationkey as bigint) as item_id from nation where n_nationkey%2=0 and n_nationkey%3<>0 union all select 'reference', 'region', cast({NEXT}+n_nationkey as bigint) from nation where n_nationkey%3=0",  # C4 C7
+    "chk_cycles": "with recursive e as (select c_custkey as id, case when c_custkey%5<>4 then c_custkey+1 when c_custkey%10=4 then c_custkey-4 end as parent from customer), w(id, up, n) as (select id, parent, 1 from e union all select w.id, e.parent, w.n+1 from w join e on e.id=w.up where w.n<20) select id from w where n=20 and up is not null",  # C8
+    # maintained aggregates and streams
+    "rollup_maintained": "select o_custkey, count(*) as n, cast(sum(o_orderkey) as bigint) as total, min(o_orderkey) as lo, max(o_orderkey) as hi from orders group by o_custkey",  # A8
+    "stream_rollup": "select o_custkey, count(*) as n, cast(sum(o_orderkey+9007199254740992) as varchar) as total, min(o_orderkey)+9007199254740992 as lo, max(o_orderkey)+9007199254740992 as hi from orders group by o_custkey",  # A8 T4
+    "stream_lists": "select conv_id, conv_id*1000+turn as item_id, cast((c-1-turn-1+c)%c as bigint) as list_index from (select conv_id, turn, count(*) over (partition by conv_id) as c from conversations) z",  # T6
 }

@@ -100,7 +100,14 @@ class View:
         return df
 
     def dataframe(self, ordered: bool = True) -> DataFrame:
-        """The rows; ``ordered`` sorts them where only their order would need it. Limits always do."""
+        """The rows; ``ordered`` sorts them where only their order would need it. Limits always do.
+
+        An offset without a limit leaves most rows, so that places are numbered by
+        range partitions instead of passing all rows through one task.
+        """
+        if self._skip and self._most is None:
+            left = self._numbered("_place").where(F.col("_place") >= self._skip)
+            return (left.orderBy("_place") if ordered else left).drop("_place")
         df = self._unordered()
         if ordered or self._limited():
             df = df.orderBy(*self._ordering())
@@ -110,9 +117,13 @@ class View:
 
     def positioned(self, name: str = "pos") -> DataFrame:
         """All rows with their place in the view's order, from 0, numbered by range partitions."""
+        base = self._frozen_rows()
+        return base._numbered(name)
+
+    def _numbered(self, name: str) -> DataFrame:
         from ..operators.numbering import numbered
 
-        return numbered(self.dataframe(ordered=False), *self._ordering(), name=name)
+        return numbered(self._unordered(), *self._ordering(), name=name)
 
     def select(self, *columns) -> DataFrame:
         return self.dataframe(ordered=False).select(*columns)
@@ -141,51 +152,67 @@ class View:
         return (df.offset(self._skip) if self._skip else df).isEmpty()
 
     def aggregate(self, kind: Aggregate | str, value=None, group_by=None) -> AggregationView:
-        kind = Aggregate(kind)
-        value, group_by = _field(value), _field(group_by)
+        return AggregationView(self, (self._wanted(kind, value),), self._grouping(group_by))
+
+    def aggregates(self, *wanted: tuple, group_by=None) -> AggregationView:
+        """Several aggregates, each (kind, value) or (kind,), of one pass over the rows."""
+        return AggregationView(self, tuple(self._wanted(*w) for w in wanted), self._grouping(group_by))
+
+    def _wanted(self, kind: Aggregate | str, value=None) -> tuple[Aggregate, FieldRef | None]:
+        kind, value = Aggregate(kind), _field(value)
         if value is not None:
             _, kind_of, _ = queryable(self.schema, self.info, value, special=False)
             if kind is Aggregate.SUM and kind_of not in NUMERIC:
                 raise QueryError("only numbers have a sum")
         elif kind in (Aggregate.MIN, Aggregate.MAX):
             raise QueryError("a minimum or maximum needs a field")
+        return kind, value
+
+    def _grouping(self, group_by) -> FieldRef | None:
+        group_by = _field(group_by)
         if group_by is not None:
             queryable(self.schema, self.info, group_by, special=False)
-        return AggregationView(self, kind, value, group_by)
+        return group_by
 
 
 class AggregationView:
-    """group_key (only if grouped) and value of each group; without groups always one row.
+    """group_key (only if grouped) and value of each group; without groups always one row. Of several aggregates, value_1, value_2, …
 
     Counts are 0 without rows; sums ignore nulls and keep the type (integers become
     longs; unsigned wider decimals); a minimum is null if any value is, since null is
     the lowest; a maximum ignores nulls. A variant's field counts only where it applies.
     """
 
-    def __init__(self, view: View, kind: Aggregate, value: FieldRef | None, group_by: FieldRef | None):
-        self._view, self._kind, self._value, self._group = view, kind, value, group_by
+    def __init__(self, view: View, wanted: tuple[tuple[Aggregate, FieldRef | None], ...], group: FieldRef | None):
+        self._view, self._wanted, self._group = view, wanted, group
 
-    def dataframe(self, value: str = "value", group: str = "group_key") -> DataFrame:
+    def _made(self, kind: Aggregate, value: FieldRef | None) -> Column:
         v = self._view
-        df = v.dataframe(ordered=False)
         applies = F.lit(True)
         c = F.lit(1)
-        if self._value is not None:
-            c = field_column(v.schema, v.info, self._value)
-            *_, variant = queryable(v.schema, v.info, self._value, special=False)
+        if value is not None:
+            c = field_column(v.schema, v.info, value)
+            *_, variant = queryable(v.schema, v.info, value, special=False)
             if variant is not None:
                 applies = F.col("variant") == variant
-        if self._kind is Aggregate.COUNT:
-            made = F.count(F.lit(1))
-        elif self._kind is Aggregate.SUM:
-            made = F.sum(c)
-        elif self._kind is Aggregate.MIN:
-            made = F.when(F.max(applies & c.isNull()), None).otherwise(F.min(c))
-        else:
-            made = F.max(c)
+        if kind is Aggregate.COUNT:
+            return F.count(F.lit(1))
+        if kind is Aggregate.SUM:
+            return F.sum(c)
+        if kind is Aggregate.MIN:
+            return F.when(F.max(applies & c.isNull()), None).otherwise(F.min(c))
+        return F.max(c)
+
+    def dataframe(self, *names: str, value: str = "value", group: str = "group_key") -> DataFrame:
+        """``names`` are those of the aggregates in their order, and then that of the group."""
+        given = [*names, *([] if len(names) >= len(self._wanted) else [value] if len(self._wanted) == 1 else [f"{value}_{i}" for i in range(1, len(self._wanted) + 1)])]
+        group = names[len(self._wanted)] if len(names) > len(self._wanted) else group
+        made = [self._made(kind, field).alias(name) for (kind, field), name in zip(self._wanted, given, strict=False)]
+        v = self._view
+        df = v.dataframe(ordered=False)
         if self._group is None:
-            return df.agg(made.alias(value))
-        return df.groupBy(field_column(v.schema, v.info, self._group).alias(group)).agg(made.alias(value))
+            return df.agg(*made)
+        return df.groupBy(field_column(v.schema, v.info, self._group).alias(group)).agg(*made)
 
     def to_rows(self) -> list[Row]:
         return self.dataframe().collect()

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalogue import QUERIES
+from .catalogue import query as _query
 from .functions.predicates import EVERYTHING, Expr, FieldRef, all_of, any_of, negate, where
 from .operators import changelog, constraints, intervals, lists, neighbors, relations
 from .plans.view import QuerySpec, View, ascending, descending
 from .sources.binding import Bound
 from .sources.tables import read_table
 
-Query = Callable[[SparkSession, str], DataFrame]
 BOUND = Bound()
 h = BOUND.h
-QUERIES: dict[str, Query] = {}
-
-
-def _query(f: Query) -> Query:
-    QUERIES[f.__name__.removeprefix("q_")] = f
-    return f
 
 
 def _view(s: SparkSession, d: str, name: str, e: Expr = EVERYTHING, *sort) -> View:
@@ -129,9 +122,7 @@ def agg_sum(s: SparkSession, d: str) -> DataFrame:
 @_query
 def agg_min_max(s: SparkSession, d: str) -> DataFrame:
     balance = h["customer.c_acctbal"]
-    rows = _view(s, d, "customer")
-    # one aggregate a call is what a view offers; two of them are one row each
-    return s.range(1).select(F.expr("1 as one")).join(rows.aggregate("min", balance).dataframe("lo"), how="left").join(rows.aggregate("max", balance).dataframe("hi"), how="left").select("lo", "hi")
+    return _view(s, d, "customer").aggregates(("min", balance), ("max", balance)).dataframe("lo", "hi")
 
 
 @_query
@@ -158,8 +149,8 @@ def agg_parent_selection(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def agg_over_limited(s: SparkSession, d: str) -> DataFrame:
-    rows = _view(s, d, "events").offset(50).limit(100).dataframe()
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("s"))
+    rows = _view(s, d, "events").offset(50).limit(100)
+    return rows.aggregates(("count",), ("sum", h["events.value"])).dataframe("n", "s").withColumn("s", F.round("s", 2))
 
 
 @_query
@@ -325,6 +316,4 @@ def set_except_equiv(s: SparkSession, d: str) -> DataFrame:
 def agg_by_list_group_top(s: SparkSession, d: str) -> DataFrame:
     rows = _view(s, d, "conversations")
     role = h["conversations.role"]
-    n = rows.aggregate("count", group_by=role).dataframe("n", "role")
-    m = rows.aggregate("max", h["conversations.turn"], role).dataframe("m", "role2")
-    return n.join(m, F.col("role").eqNullSafe(F.col("role2"))).select("role", "n", "m")
+    return rows.aggregates(("count",), ("max", h["conversations.turn"]), group_by=role).dataframe("n", "m", "role")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from .schema import ContainerInfo, Schema
 from .types import Kind
 
 
+#: Ids of changed rows that are broadcast, at most.
+MAX_BROADCAST = 1_000_000
+
+
 class Store:
     """Rows by id. ``base`` has a DataFrame for containers with stored rows; the overlay has rows that
     differ from it, None for removed ones, and is folded into the base by ``compacted``."""
@@ -32,13 +37,20 @@ class Store:
         return None if p is None else item.values.get(p.name)
 
     def find(self, item_id: int) -> Item | None:
-        if item_id in self.overlay:
-            return self.overlay[item_id]
-        for c, df in self.base.items():
-            row = df.where(F.col("item_id") == item_id).first()
-            if row is not None:
-                return self._item(c, row)
-        return None
+        return self.find_many([item_id]).get(item_id)
+
+    def find_many(self, ids: list[int]) -> dict[int, Item | None]:
+        """Items by id, None or absent where there is none; one job looks for the containers, and one reads rows from each."""
+        out = {i: self.overlay[i] for i in ids if i in self.overlay}
+        sought = [i for i in ids if i not in out]
+        if sought and self.base:
+            homes = list(self.base)
+            if len(homes) > 1:
+                where = reduce(DataFrame.union, (df.where(F.col("item_id").isin(sought)).select(F.lit(c).alias("c")) for c, df in self.base.items()))
+                homes = sorted({r.c for r in where.distinct().collect()})
+            for c in homes:
+                out |= {r.item_id: self._item(c, r) for r in self.base[c].where(F.col("item_id").isin(sought)).collect()}
+        return out
 
     def _item(self, container: int, row) -> Item:
         info = self.info(container)
@@ -78,15 +90,20 @@ class Store:
                 found |= {r.item_id for r in df.where(F.col(rel.name).isin(list(parents))).select("item_id").collect() if r.item_id not in self.overlay}
         return sorted(found)
 
-    def with_value(self, container: int, column: str, value) -> list[Item]:
-        """Rows with a value in a column."""
+    def with_value(self, container: int, column: str, value, others: dict[str, object]) -> list[Item]:
+        """Rows with a value in a column and equal cells in ``others`` (columns or variant): all of the overlay, and one at least of the base if there are any."""
+        fits = lambda i: all((i.variant if k == "variant" else i.values.get(k)) == v for k, v in others.items())
         if value is None:
             found = [i for i in self.overlay.values() if i and i.container == container and i.values.get(column) is None]
         else:
             found = [self.overlay[i] for i in self._values.get((container, column, value), ())]
+        found = [i for i in found if fits(i)]
         if container in self.base:
-            rows = self.base[container].where(F.col(column).eqNullSafe(F.lit(value))).collect()
-            found += [self._item(container, r) for r in rows if r.item_id not in self.overlay]
+            rows = self.base[container].where(F.col(column).eqNullSafe(F.lit(value)))
+            for k, v in others.items():
+                rows = rows.where(F.col(k).eqNullSafe(F.lit(v)))
+            changed = sum(home == container for home in self._home.values())
+            found += [self._item(container, r) for r in rows.limit(changed + 2).collect() if r.item_id not in self.overlay]
         return found
 
     def group(self, container: int, key) -> list[int]:
@@ -121,9 +138,22 @@ class Store:
         old = self.base[container]
         if changed:
             ids = self.spark.createDataFrame([(i,) for i in changed], "item_id bigint")
-            old = old.join(F.broadcast(ids), "item_id", "left_anti").select(*info.struct.names)
+            if len(changed) <= MAX_BROADCAST:
+                ids = F.broadcast(ids)
+            old = old.join(ids, "item_id", "left_anti").select(*info.struct.names)
         return old.unionByName(now) if rows else old
 
+    def rebase(self, container: int, rows: DataFrame) -> None:
+        """Takes ``rows`` for all rows of a container; what the overlay has of it is dropped."""
+        self.base[container] = rows.select(*self.info(container).struct.names)
+        for i in [i for i, home in self._home.items() if home == container]:
+            self._unlist(i)
+            del self._home[i], self.overlay[i]
+        self._groups = {k: v for k, v in self._groups.items() if k[0] != container}
+
+    def changed(self, container: int) -> bool:
+        return any(home == container for home in self._home.values())
+
     def count_overlay(self) -> int:
         return len(self.overlay)
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from skein import oracles, queries
+from skein import oracles, queries, state_queries  # noqa: F401
 from skein.functions.predicates import where
 from skein.plans.view import QuerySpec
 
