@@ -6,13 +6,18 @@ times, and else ``BACKOFF * c(w) / N``; the first word has c(w) / N. All counts
 those of the whole corpus. Words are runs without ASCII white space, A-Z in lower
 case.
 
-Count tables are partitioned by a hash of the n-gram and joined there to the
-documents' distinct n-grams, so that no count is sent to a document; each
-partition returns a partial sum for each document. N-grams travel in compressed
-columns, sorted by hash. Frequent bigrams, of which a partition would get a row
-from nearly every document, are found by bounded summaries, counted exactly, and
-broadcast: at most a million. Unigram counts are broadcast too while they are few
-enough, and joined in rows otherwise.
+Three joins give each n-gram of a document its counts, and sums by document follow:
+
+* Bigrams: documents' distinct bigrams are partitioned by a hash. A partition's
+  count table is the sum by bigram of what arrives there; it is joined to the same
+  rows in place, so that bigrams travel once, packed in compressed columns.
+* Frequent bigrams, of which a partition would get a row from nearly every
+  document, are found by bounded summaries, counted exactly and broadcast: a
+  million at most.
+* Words: the count table of words is partitioned by a hash. Words that are more than
+  one in ``MAX_WORDS`` of all occurrences, of which there are at most that many, are
+  broadcast; all others are rare by definition, and what a bigram needs of them is
+  joined in rows, without hot keys.
 """
 
 from __future__ import annotations
@@ -26,27 +31,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, persisted, table, text_bytes
+from .common import blocks, map_arrow, map_batches, map_groups, persisted, table, text_bytes
 from .texthash import ngram_hashes, word_hashes
 
 BACKOFF, MIN_COUNT = 0.4, 2
 #: N-grams of a partition, about, and of a task's rows.
-BUCKET, FLUSH = 3_000_000, 1_000_000
-#: Words whose counts are broadcast: packed in about 7 bytes, 12 in a worker.
-MAX_WORDS = 12_000_000
+BUCKET, FLUSH = 2_000_000, 900_000
+#: Words whose counts are broadcast, at most: packed in about 7 bytes, 12 in a worker.
+MAX_WORDS = 1 << 22
 #: Frequent bigrams: entries of a task's summary, occurrences in a task at least, in all at least.
 SUMMARY, LOCAL_HOT, HOT = 16384, 8, 1024
 
+_U4, _U8, _I4, _I8, _F8 = (np.dtype(x) for x in ("<u4", "<u8", "<i4", "<i8", "<f8"))
 
-def _pack(x: np.ndarray) -> bytes:
-    """Byte planes, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as byte planes, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in columns), 1)
 
-def _unpack(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+def _unpack(raw: bytes, *kinds: np.dtype) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8) if raw else np.zeros(0, np.uint8)
+    n = len(data) // sum(k.itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        planes = data[at : at + n * k.itemsize].reshape(k.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(k).ravel())
+        at += n * k.itemsize
+    return out
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -77,7 +89,7 @@ def _words(block: pa.RecordBatch):
 
 
 def word_counts(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Packed counts of all words, a row for each range of hashes (n words, total occurrences, names, counts), and h, n of bigrams that are frequent in some task (lower bounds)."""
+    """The count table of all words, packed by range of hashes (total occurrences, data), and h, n of bigrams that are frequent in some task (lower bounds)."""
 
     def run(batches):
         names, counts, size = [], [], 0
@@ -85,50 +97,66 @@ def word_counts(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
 
         def flush():
             h, n = _summed(np.concatenate(names), np.concatenate(counts))
-            for b, a, z in _split(h, buckets):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "h": pa.array([_pack(h[a:z])], pa.binary()), "n": pa.array([_pack(n[a:z])], pa.binary())})
+            parts = _split(h, buckets)
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _, _ in parts], pa.int32()), "data": pa.array([_pack(h[a:z], n[a:z]) for _, a, z in parts], pa.binary())})
 
         for batch in batches:
             for block in blocks(batch):
                 words, pairs, _, _ = _words(block)
                 h, n = np.unique(words, return_counts=True)
                 names.append(h)
-                counts.append(n)
+                counts.append(n.astype(np.int64))
                 size += len(h)
                 h, n = np.unique(pairs[pairs > 0], return_counts=True)
                 pairs_seen.update(dict(zip(h[n > 1].tolist(), n[n > 1].tolist(), strict=True)))
                 if len(pairs_seen) > 32 * SUMMARY:
                     pairs_seen = Counter(dict(pairs_seen.most_common(8 * SUMMARY)))
                 if size > FLUSH:
-                    yield from flush()
+                    yield flush()
                     names, counts, size = [], [], 0
         if names:
-            yield from flush()
+            yield flush()
         best = [(h, n) for h, n in pairs_seen.most_common(SUMMARY) if n >= LOCAL_HOT]
         if best:
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - TaskContext.get().partitionId() % 256], pa.int32()), "h": pa.array([_pack(np.array([h for h, _ in best], np.uint64))], pa.binary()), "n": pa.array([_pack(np.array([n for _, n in best], np.int64))], pa.binary())})
+            data = _pack(np.array([h for h, _ in best], np.uint64), np.array([n for _, n in best], np.int64))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - TaskContext.get().partitionId() % 256], pa.int32()), "data": pa.array([data], pa.binary())})
 
     def total(t: pa.Table) -> pa.Table:
-        h = np.concatenate([_unpack(x.as_py(), np.uint64) for x in t.column("h")])
-        n = np.concatenate([_unpack(x.as_py(), np.int64) for x in t.column("n")])
-        h, n = _summed(h, n)
+        parts = [_unpack(x.as_py(), _U8, _I8) for x in t.column("data")]
+        h, n = _summed(np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts]))
         if t.column("bucket")[0].as_py() < 0:
-            none = pa.nulls(len(h), pa.binary())
-            return pa.table({"pair": pa.array([True] * len(h)), "h": pa.array(h.view(np.int64)), "n": pa.array(n), "total": pa.array(n), "names": none, "counts": none})
-        return pa.table({"pair": [False], "h": pa.nulls(1, pa.int64()), "n": [len(h)], "total": [int(n.sum())], "names": pa.array([_pack(np.diff(h, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([_pack(n)], pa.binary())})
+            return pa.table({"pair": pa.array([True] * len(h)), "h": pa.array(h.view(np.int64)), "total": pa.array(n), "data": pa.nulls(len(h), pa.binary())})
+        return pa.table({"pair": [False], "h": pa.nulls(1, pa.int64()), "total": [int(n.sum())], "data": pa.array([_pack(h, n)], pa.binary())})
+
+    rows = map_batches(docs.select("text"), run, "bucket int, data binary")
+    out = persisted(map_groups(docs.sparkSession, rows.groupBy("bucket"), total, "pair boolean, h bigint, total bigint, data binary"))
+    return out.where("not pair").select("total", "data"), out.where("pair").groupBy("h").agg(F.sum("total").alias("n"))
+
+
+def frequent_counts(words: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the words that occur ``least`` times or more."""
+
+    def picked(batch: pa.RecordBatch):
+        for raw in batch.column("data").to_pylist():
+            h, n = _unpack(raw, _U8, _I8)
+            yield pa.RecordBatch.from_pydict({"data": pa.array([_pack(h[n >= least], n[n >= least])], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, h binary, n binary")
-    out = persisted(rows.groupBy("bucket").applyInArrow(total, "pair boolean, h bigint, n bigint, total bigint, names binary, counts binary"))
-    return out.where("not pair").select("n", "total", "names", "counts"), out.where("pair").groupBy("h").agg(F.sum("n").alias("n"))
+    parts = [_unpack(bytes(r.data), _U8, _I8) for r in map_arrow(words.select("data"), picked, "data binary").collect()]
+    h = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)])
+    n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+    order = np.argsort(h, kind="stable")
+    return h[order], n[order].astype(np.uint32) if len(n) and n.max() < 1 << 32 else n[order]
 
 
-def _unpacked(names: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of packed parts, which are apart by range."""
-    parts = sorted(((np.cumsum(_unpack(h, np.uint64), dtype=np.uint64), _unpack(n, np.int64)) for h, n in zip(names, counts, strict=True)), key=lambda x: int(x[0][0]))
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    n = np.concatenate([n for _, n in parts])
-    return np.concatenate([h for h, _ in parts]), n.astype(np.uint32) if n.max() < 1 << 32 else n
+def rare_counts(words: DataFrame, least: int) -> DataFrame:
+    """word, count of the words that occur less than ``least`` times."""
+
+    def unpacked(batch: pa.RecordBatch):
+        for raw in batch.column("data").to_pylist():
+            h, n = _unpack(raw, _U8, _I8)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(h[n < least].view(np.int64)), "count": pa.array(n[n < least])})
+
+    return map_arrow(words.select("data"), unpacked, "word bigint, count bigint")
 
 
 def exact_counts(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
@@ -149,7 +177,7 @@ def exact_counts(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int32()), "n": pa.array(n[at])})
 
     n = np.zeros(len(wanted), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for r in map_batches(docs.select("text"), run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
         n[r.i] = r.n
     return n
 
@@ -161,171 +189,184 @@ def stupid_backoff(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_wor
     rows are documents of their own and count as often. Other columns are ignored.
     The sums' last digits depend on the order of addition.
     """
-    total = int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
-    buckets = max(2, -(-total // 5 // BUCKET))
-    unigrams, seen = word_counts(docs, buckets)
-    n_words, distinct = (x or 0 for x in unigrams.agg(F.sum("total"), F.sum("n")).first())
+    spark: SparkSession = docs.sparkSession
+    chars = int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    buckets = max(2, -(-chars // 5 // BUCKET))
+    words, seen = word_counts(docs, buckets)
+    n_words = int(words.agg(F.sum("total")).first()[0] or 0)
+    least = n_words // max_words + 1  # n_words / least words at most occur so often
     hot = np.sort(np.array([r.h for r in seen.where(F.col("n") >= max(HOT, n_words // 1_000_000)).select("h").collect()], dtype=np.int64).view(np.uint64))
-    hot_n = exact_counts(docs, hot)
-    if distinct > max_words:
-        return _scored_in_rows(docs, unigrams, n_words, keep)
-    packed = unigrams.select("names", "counts").collect()  # of max_words words at most, about 7 bytes each
-    return _scored_in_columns(docs, [(bytes(r.names), bytes(r.counts)) for r in packed], n_words, (hot, hot_n), buckets, keep)
-
-
-#: The unpacked counts of this worker's broadcast.
-_unigrams: list = []
-
-
-def unpacked_here(packed: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The counts, unpacked once in a worker."""
-    if not _unigrams or _unigrams[0] is not packed:
-        _unigrams[:] = [packed, _unpacked([h for h, _ in packed], [n for _, n in packed])]
-    return _unigrams[1]
+    shared = spark.sparkContext.broadcast((*frequent_counts(words, least), hot, exact_counts(docs, hot), n_words))
+    sums = persisted(bigram_sums(docs, keep, shared, n_words, buckets))
+    asked = asked_of_rare_words(sums)
+    answers = asked.join(rare_counts(words, least), "word").groupBy("chunk", "doc").agg(F.sum(F.col("weight") * F.log("count")).alias("s"))
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("doc", "s")).alias("rare"))
+    return by_document(sums, answers, keep, docs)
 
 
 def _lookup(names: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Values of hashes, 0 where unknown."""
     if not len(names):
-        return np.zeros(len(h), values.dtype)
+        return np.zeros(len(h), np.int64)
     at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-    return np.where(names[at] == h, values[at], 0)
+    return np.where(names[at] == h, values[at], 0).astype(np.int64)
 
 
-def _scored_in_columns(docs: DataFrame, unigrams, n_words: int, hot, buckets: int, keep: tuple[str, ...]) -> DataFrame:
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast((unigrams, *hot))
-    source = docs.select(*dict.fromkeys((*keep, "text")), F.struct(*keep).alias("_k"))
-    kept_type = source.schema["_k"].dataType.simpleString()
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in keep)
-    packed = ("h", "doc", "times", "before", "own")
-    kinds = dict(zip(packed, (np.uint64, np.uint32, np.uint32, np.int64, np.int64), strict=True))
+#: Columns of a chunk's bigrams on their way: hash, document of the chunk, times, counts of both words (0: rare, to be asked for).
+_BIGRAMS = (_U8, _U4, _U4, _I8, _I8)
+#: What a document asks of a rare word: document of the chunk, word, times that the logarithm of its count adds to the score.
+_ASKED = (_U4, _U8, _I4)
+#: A partition's part of a document's score, and its places that back off.
+_SUMS = (_U4, _F8, _U4)
+
+
+def bigram_sums(docs: DataFrame, keep: tuple[str, ...], shared, n_words: int, buckets: int) -> DataFrame:
+    """Chunks of documents: a row with keys, words and what is known at once, and a row of partial sums from each partition of bigrams; either may ask for rare words."""
+    source = docs.select(F.struct(*keep).alias("_k"), "text")
+    key_kind = source.schema["_k"].dataType.simpleString()
 
     def emit(batches):
-        """Bigrams of a chunk of documents by bucket; a chunk's own row has its documents and what is known of them here."""
-        packed_counts, hot, hot_n = shared.value
-        names, counts = unpacked_here(packed_counts)
+        names, counts, hot, hot_n, _ = shared.value
         part = TaskContext.get().partitionId()
-        chunk = 0
-        cols: dict[str, list] = {k: [] for k in packed}
-        keys, base, size_words, back = [], [], [], []
-        size = 0
+        chunk = size = 0
+        held = _Chunk()
 
         def flush():
             name = (part << 24) | chunk
-            c = {k: np.concatenate(v) for k, v in cols.items()}
-            order = np.argsort(c["h"], kind="stable")
-            c = {k: v[order] for k, v in c.items()}
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - name % 65536], pa.int32()), "chunk": pa.array([name], pa.int64()), "size": pa.array([len(keys)], pa.int32())} | {k: pa.array([b""], pa.binary()) for k in packed} | {"keys": pa.array([keys], pa.list_(key_type[0])), "base": pa.array([base], pa.list_(pa.float64())), "words": pa.array([size_words], pa.list_(pa.int64())), "back": pa.array([back], pa.list_(pa.int64()))})
-            for b, a, z in _split(c["h"], buckets):
-                step = np.diff(c["h"][a:z], prepend=np.uint64(0))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "chunk": pa.array([name], pa.int64()), "size": pa.array([len(keys)], pa.int32())} | {k: pa.array([_pack(step if k == "h" else c[k][a:z].astype(kinds[k]))], pa.binary()) for k in packed} | {"keys": pa.nulls(1, pa.list_(key_type[0])), "base": pa.nulls(1, pa.list_(pa.float64())), "words": pa.nulls(1, pa.list_(pa.int64())), "back": pa.nulls(1, pa.list_(pa.int64()))})
-
-        key_type: list = []
+            head = {"bucket": pa.array([-1 - name % 65536], pa.int32()), "chunk": pa.array([name], pa.int64()), "data": pa.array([_pack(*held.sums())], pa.binary()), "rare_before": pa.array([_pack(*held.asked())], pa.binary()), "rare_own": pa.nulls(1, pa.binary())}
+            yield pa.RecordBatch.from_pydict(head | {"keys": pa.array([held.keys], pa.list_(held.kind)), "words": pa.array([held.words], pa.list_(pa.int64()))})
+            rows = list(held.partitions(buckets))
+            some = {"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([name] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary()), "rare_before": pa.array([r[2] for r in rows], pa.binary()), "rare_own": pa.array([r[3] for r in rows], pa.binary())}
+            yield pa.RecordBatch.from_pydict(some | {"keys": pa.nulls(len(rows), pa.list_(held.kind)), "words": pa.nulls(len(rows), pa.list_(pa.int64()))})
+
         for batch in batches:
-            key_type = [batch.column("_k").type]
             for block in blocks(batch):
-                words, pairs, row, starts = _words(block)
-                n = _lookup(names, counts, words).astype(np.int64)
-                n_docs = block.num_rows
-                known = np.zeros(n_docs)  # first words, and frequent bigrams
-                np.add.at(known, row[starts], np.log(n[starts] / n_words))
-                before = np.append(0, n[:-1])[: len(n)]
-                c2 = _lookup(hot, hot_n, pairs) if len(hot) else np.zeros(len(pairs), np.int64)
-                on = c2 > 0
-                known += np.bincount(row[on], weights=np.log(c2[on] / before[on]), minlength=n_docs)
-                off = np.flatnonzero(~on & (pairs > 0))
-                # distinct bigrams of each document
-                order = off[np.lexsort((pairs[off], row[off]))]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (pairs[order][1:] != pairs[order][:-1]) | (row[order][1:] != row[order][:-1])
-                first = np.flatnonzero(new)
-                at = order[first]
-                for k, v in zip(packed, (pairs[at], (row[at] + len(keys)).astype(np.uint32), np.diff(np.append(first, len(order))).astype(np.uint32), before[at], n[at]), strict=True):
-                    cols[k].append(v)
-                keys += block.column("_k").to_pylist()
-                base += known.tolist()
-                size_words += np.bincount(row, minlength=n_docs).tolist()
-                back += [0] * n_docs
-                size += len(at)
+                size += held.add(block, names, counts, hot, hot_n, n_words)
                 if size >= FLUSH:
                     yield from flush()
-                    cols = {k: [] for k in packed}
-                    keys, base, size_words, back, size = [], [], [], [], 0
-                    chunk += 1
-        if keys:
+                    held, size, chunk = _Chunk(), 0, chunk + 1
+        if held.keys:
             yield from flush()
 
-    row_schema = f"bucket int, chunk bigint, size int, {', '.join(f'{k} binary' for k in packed)}, keys array<{kept_type}>, base array<double>, words array<bigint>, back array<bigint>"
-
     def joined(t: pa.Table) -> pa.Table:
-        """The bigrams' counts are the sums of a partition; each chunk gets a sum for each document."""
+        """Joins a partition's count table to its bigrams; a row for each chunk."""
         if t.column("bucket")[0].as_py() < 0:
-            return t.select(["chunk", "keys", "base", "words", "back"]).append_column("sums", pa.array([b""] * len(t), pa.binary())).append_column("offs", pa.array([b""] * len(t), pa.binary()))
-        parts = [{k: _unpack(t.column(k)[i].as_py(), kinds[k]) for k in packed} for i in range(len(t))]
-        h = np.concatenate([np.cumsum(p["h"], dtype=np.uint64) for p in parts])
-        names, at = np.unique(h, return_inverse=True)
-        count = np.bincount(at, weights=np.concatenate([p["times"] for p in parts]))[at]
-        out = {k: [] for k in ("chunk", "sums", "offs")}
-        end = 0
-        for i, p in enumerate(parts):
-            c = count[end : end + len(p["h"])]
-            end += len(p["h"])
+            return t.select(["chunk", "keys", "words", "data", "rare_before"]).rename_columns(["chunk", "keys", "words", "sums", "asked"])
+        parts = [_unpack(d.as_py(), *_BIGRAMS) for d in t.column("data")]
+        starts = np.cumsum([0] + [len(p[0]) for p in parts])
+        names, at = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([p[2] for p in parts]), minlength=len(names))
+        sums, asked = [], []
+        for p, rare_before, rare_own, a, z in zip(parts, t.column("rare_before"), t.column("rare_own"), starts[:-1], starts[1:], strict=True):
+            c = count[at[a:z]]
+            _, doc, times, before, own = p
             held = c >= MIN_COUNT
-            s = np.where(held, np.log(np.maximum(c, 1) / p["before"]), np.log(BACKOFF * p["own"] / n_words)) * p["times"]
-            size = t.column("size")[i].as_py()
-            out["chunk"].append(t.column("chunk")[i].as_py())
-            out["sums"].append(np.bincount(p["doc"], weights=s, minlength=size).tobytes())
-            out["offs"].append(_pack(np.bincount(p["doc"], weights=~held * p["times"], minlength=size).astype(np.uint32)))
+            known = lambda x: np.log(np.maximum(x, 1))  # noqa: E731  nothing yet for a rare word
+            s = np.where(held, np.log(c) - known(before), np.log(BACKOFF / n_words) + known(own)) * times
+            docs_here, inverse = np.unique(doc, return_inverse=True)
+            sums.append(_pack(docs_here, np.bincount(inverse, weights=s), np.bincount(inverse, weights=~held * times).astype(np.uint32)))
+            word = np.zeros((2, len(c)), dtype=np.uint64)
+            word[0, before == 0], word[1, own == 0] = *_unpack(rare_before.as_py(), _U8), *_unpack(rare_own.as_py(), _U8)
+            i = np.flatnonzero(np.where(held, before, own) == 0)
+            asked.append(_pack(doc[i], np.where(held, word[0], word[1])[i], np.where(held[i], -1, 1).astype(np.int32) * times[i].astype(np.int32)))
         n = len(parts)
-        nulls = {k: pa.nulls(n, t.schema.field(k).type) for k in ("keys", "base", "words", "back")}
-        return pa.table({"chunk": pa.array(out["chunk"], pa.int64())} | nulls | {"sums": pa.array(out["sums"], pa.binary()), "offs": pa.array(out["offs"], pa.binary())})
-
-    def finished(t: pa.Table) -> pa.Table:
+        return pa.table({"chunk": t.column("chunk"), "keys": pa.nulls(n, t.schema.field("keys").type), "words": pa.nulls(n, t.schema.field("words").type), "sums": pa.array(sums, pa.binary()), "asked": pa.array(asked, pa.binary())})
+
+    rows = map_batches(source, emit, f"bucket int, chunk bigint, data binary, rare_before binary, rare_own binary, keys array<{key_kind}>, words array<bigint>")
+    return map_groups(docs.sparkSession, rows.groupBy("bucket"), joined, f"chunk bigint, keys array<{key_kind}>, words array<bigint>, sums binary, asked binary")
+
+
+class _Chunk:
+    """Documents that a task gathers: their keys, what is known of their scores, and their other bigrams."""
+
+    def __init__(self):
+        self.keys: list = []
+        self.words: list[int] = []
+        self.kind = None
+        self._known: list[np.ndarray] = []
+        self._first: list[tuple[np.ndarray, np.ndarray]] = []  # rare first words: document and word
+        self._bigrams: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, block: pa.RecordBatch, names, counts, hot, hot_n, n_words: int) -> int:
+        """The number of bigrams that are left to be joined."""
+        words, pairs, row, starts = _words(block)
+        n = _lookup(names, counts, words)
+        base, docs = len(self.keys), block.num_rows
+        known = np.zeros(docs)
+        known[row[starts]] = np.log(np.maximum(n[starts], 1) / max(1, n_words))
+        rare = starts[n[starts] == 0]
+        self._first.append((row[rare] + base, words[rare]))
+        before, last = np.append(0, n[:-1])[: len(n)], np.append(np.uint64(0), words[:-1])[: len(n)]
+        c = _lookup(hot, hot_n, pairs)
+        on = (c > 0) & (before > 0) & (pairs > 0)
+        known += np.bincount(row[on], weights=np.log(c[on] / before[on]), minlength=docs)
+        off = np.flatnonzero(~on & (pairs > 0))
+        order = off[np.lexsort((pairs[off], row[off]))]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (pairs[order][1:] != pairs[order][:-1]) | (row[order][1:] != row[order][:-1])
+        first = np.flatnonzero(new)
+        at = order[first]
+        times = np.diff(np.append(first, len(order)))
+        self._bigrams.append((pairs[at], (row[at] + base).astype(np.uint32), times.astype(np.uint32), before[at], n[at], last[at], words[at]))
+        self.kind = block.column("_k").type
+        self.keys += block.column("_k").to_pylist()
+        self.words += np.bincount(row, minlength=docs).tolist()
+        self._known.append(known)
+        return len(at)
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        known = np.concatenate(self._known)
+        return np.arange(len(known), dtype=np.uint32), known, np.zeros(len(known), np.uint32)
+
+    def asked(self) -> tuple[np.ndarray, ...]:
+        doc, word = (np.concatenate(x) for x in zip(*self._first, strict=True))
+        return doc.astype(np.uint32), word, np.ones(len(doc), np.int32)
+
+    def partitions(self, buckets: int):
+        """Number, packed bigrams, with hashes as differences, and the words whose counts aren't known, of each partition."""
+        columns = [np.concatenate(x) for x in zip(*self._bigrams, strict=True)]
+        self._bigrams.clear()
+        order = np.argsort(columns[0], kind="stable")
+        columns = [x[order] for x in columns]
+        for b, a, z in _split(columns[0], buckets):
+            h, doc, times, before, own, v, w = (x[a:z] for x in columns)
+            yield b, _pack(np.diff(h, prepend=np.uint64(0)), doc, times, before, own), _pack(v[before == 0]), _pack(w[own == 0])
+
+
+def asked_of_rare_words(sums: DataFrame) -> DataFrame:
+    """chunk, doc, word, weight."""
+
+    def run(batch: pa.RecordBatch):
+        for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+            doc, word, weight = _unpack(raw, *_ASKED)
+            if len(doc):
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(doc), pa.int64()), "doc": pa.array(doc.astype(np.int64)), "word": pa.array(word.view(np.int64)), "weight": pa.array(weight.astype(np.int64))})
+
+    return map_arrow(sums.select("chunk", "asked"), run, "chunk bigint, doc bigint, word bigint, weight bigint")
+
+
+def by_document(sums: DataFrame, answers: DataFrame, keep: tuple[str, ...], docs: DataFrame) -> DataFrame:
+    """The sums of each document; answers has chunk and rare (doc, s)."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+
+    def run(t: pa.Table) -> pa.Table:
         head = next(i for i in range(len(t)) if t.column("keys")[i].is_valid)
-        score = np.array(t.column("base")[head].as_py(), dtype=np.float64)
-        back = np.zeros(len(score), dtype=np.int64)
-        for i in range(len(t)):
-            if i != head and t.column("sums")[i].as_py():
-                score += np.frombuffer(t.column("sums")[i].as_py())
-                back += _unpack(t.column("offs")[i].as_py(), np.uint32)
-        struct = t.column("keys").combine_chunks()[head].values
+        n = len(t.column("keys")[head])
+        score, back = np.zeros(n), np.zeros(n, dtype=np.int64)
+        for raw, rare in zip(t.column("sums").to_pylist(), t.column("rare"), strict=True):
+            if rare.is_valid:
+                np.add.at(score, np.asarray(rare.values.field("doc")), np.asarray(rare.values.field("s")))
+            else:
+                doc, s, off = _unpack(raw, *_SUMS)
+                score[doc] += s
+                back[doc] += off
+        struct = t.column("keys")[head].values
         words = pa.array(t.column("words")[head].as_py(), pa.int64())
         return pa.table({k: struct.field(i) for i, k in enumerate(keep)} | {"n_words": words, "n_backoff": pa.array(back), "log_score": pa.array(score)})
 
-    rows = source.select("_k", "text").mapInArrow(emit, row_schema)
-    sums = rows.groupBy("bucket").applyInArrow(joined, f"chunk bigint, keys array<{kept_type}>, base array<double>, words array<bigint>, back array<bigint>, sums binary, offs binary")
-    out = sums.groupBy("chunk").applyInArrow(finished, f"{kind}, n_words bigint, n_backoff bigint, log_score double")
-    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
-
-
-def _scored_in_rows(docs: DataFrame, unigrams: DataFrame, n_words: int, keep: tuple[str, ...]) -> DataFrame:
-    """The same in rows, for vocabularies of any size: every distinct n-gram of a document meets its count in a shuffle."""
-    keyed = persisted(docs.select(*dict.fromkeys((*keep, "text"))).withColumn("_row", F.expr("uuid()")))
-
-    def exploded(batch: pa.RecordBatch):
-        for block in blocks(batch):
-            words, pairs, row, _ = _words(block)
-            before = np.append(np.zeros(1, np.uint64), words[:-1])[: len(words)]
-            before[pairs == 0] = 0
-            yield pa.RecordBatch.from_pydict({"_row": block.column("_row").take(pa.array(row)), "v": pa.array(before.view(np.int64)), "w": pa.array(words.view(np.int64)), "h": pa.array(pairs.view(np.int64))})
-
-    grams = map_arrow(keyed.select("_row", "text"), exploded, "_row string, v bigint, w bigint, h bigint").groupBy("_row", "v", "w", "h").agg(F.count(F.lit(1)).alias("times"))
-    grams = persisted(grams)
-    bigrams = grams.where("h <> 0").groupBy("h").agg(F.sum("times").alias("c"))
-
-    def unpacked(batch: pa.RecordBatch):
-        for h, n in zip(batch.column("names").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            h, n = _unpacked([h], [n])
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    counted = map_arrow(unigrams.select("names", "counts"), unpacked, "h bigint, n bigint")
-    of = lambda name, col: counted.select(F.col("h").alias(name), F.col("n").alias(col))
-    met = grams.join(of("w", "own"), "w").join(of("v", "before"), "v", "left").join(bigrams, "h", "left")
-    held = F.coalesce(F.col("c") >= MIN_COUNT, F.lit(False))
-    s = F.when(F.col("h") == 0, F.log(F.col("own") / n_words)).when(held, F.log(F.col("c") / F.col("before"))).otherwise(F.log(F.lit(BACKOFF) * F.col("own") / n_words))
-    by = met.groupBy("_row").agg(F.sum("times").alias("n_words"), F.sum(F.when((F.col("h") != 0) & ~held, F.col("times")).otherwise(0)).alias("n_backoff"), F.sum(s * F.col("times")).alias("log_score"))
-    out = keyed.select(*keep, "_row").join(by, "_row", "left").select(*keep, *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("n_words", "bigint"), ("n_backoff", "bigint"), ("log_score", "double"))))
+    some = sums.select("chunk", "keys", "words", "sums", F.lit(None).cast("array<struct<doc: bigint, s: double>>").alias("rare"))
+    more = answers.select("chunk", F.lit(None).cast(sums.schema["keys"].dataType).alias("keys"), F.lit(None).cast("array<bigint>").alias("words"), F.lit(None).cast("binary").alias("sums"), "rare")
+    out = map_groups(docs.sparkSession, some.unionByName(more).groupBy("chunk"), run, f"{fields}, n_words bigint, n_backoff bigint, log_score double")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 

@@ -9,7 +9,7 @@ from skein.llm import ngrams as N
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("options", [{}, {"max_words": 3}])
+@pytest.mark.parametrize("options", [{}, {"max_words": 300}, {"max_words": 3}, {"max_words": 1}])
 def test_against_brute_force(spark, sample, odd, monkeypatch, options):
     monkeypatch.setattr(N, "HOT", 40)
     docs = sample.select("doc_id", "text").union(odd.select("doc_id", "text")).repartition(3)
