@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import discard, persisted
 
-__all__ = ["blocks", "discard", "map_arrow", "map_batches", "map_groups", "merged_in_tree", "persisted", "table", "text_bytes"]
+__all__ = ["blocks", "discard", "map_arrow", "map_batches", "map_groups", "merged_in_tree", "named", "persisted", "table", "text_bytes"]
 
 #: Bytes of text that a Python worker handles at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -105,6 +105,23 @@ def merged_in_tree(parts: DataFrame, keys: list[str], fn: Callable[[pa.Table], p
         width *= FAN_IN
 
 
+def named(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """``df`` with a 64-bit name of the values of some columns: different values never have the same.
+
+    Names are hashes. Those that two values share, found by a second hash, are few
+    (about 70 among 5e10 values) and are replaced by others until none is shared.
+    """
+    values = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
+    made, second, again = F.xxhash64(*values), F.xxhash64(F.lit("second"), *values), 0
+    while True:
+        both = df.select(made.alias("n"), second.alias("s")).groupBy("n").agg(F.min("s").alias("a"), F.max("s").alias("z"))
+        shared = [r.n for r in both.where("a <> z").select("n").collect()]
+        if not shared:
+            return df.withColumn(name, made)
+        again += 1
+        made = F.when(made.isin(shared), F.xxhash64(F.lit(again), *values)).otherwise(made)
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about ``limit`` bytes; at least a row each."""
     if not batch.num_rows:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persisted
+from .common import discard, persisted
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for all nodes of ``edges`` (a, b; no nulls, self-loops allowed).
 
     Each round joins edges with a minimum that is summed map-side, so that a hub is
-    split like any skewed join key; lineage is cut by a written table each round.
+    split like any skewed join key; lineage is cut by a written table each round, and
+    the table before it goes.
     The number of rounds grows with the logarithm of the largest component.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -24,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        e = persisted(small.union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        last, e = e, persisted(small.union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        discard(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -13,13 +13,17 @@ can't divide a corpus; single shingles are its pivots first:
    that reaches them is tied to the smallest set of that shingle, without a group.
    Regions that overlap are joined: a pair of linked sets is within one region.
 2. **Document pivots.** A region of up to ``REGION`` sets is joined in one task. A
-   larger one gets pivots of its own members; each member goes to the Voronoi cell
-   of its nearest pivot and is linked to every pivot within eps. Members that are
-   then outside the region's largest class are compared, in blocks, with each cell
-   that the triangle inequality leaves: d(y, p) <= radius(p) + eps. Pairs within
-   the largest class need no comparison, since their class is known already.
-   This is one level of pivots: a large cell is cut by a hash into parts that are
-   all compared, not by pivots of its own again.
+   larger one gets pivots of its own members, in proportion to its size up to
+   ``PIVOTS``. Each member is linked to every pivot within eps and goes to the
+   Voronoi cell of its nearest pivot, and to each further cell whose window it is in:
+   d(y, p) <= radius(p) + eps, by the triangle inequality. Cells are regions of their
+   own, divided by pivots again until they fit a task. A cell whose members are all
+   known to be of one class ends there, so that a group of copies needs few levels.
+3. **Where windows don't divide.** Regions may have grown together by shingles that
+   unlike documents share; all distances are near 1 then and every window holds. Such
+   a region falls apart into the sets of each shingle again, equal ones once, each a
+   region as above. Only a set of documents that share a shingle, fill more than a
+   task and are still all unlike is compared in blocks, each pair once.
 
 Within a task a set is compared with all others at once by marking its shingles,
 again only sets outside the largest class, so that a group of copies costs one
@@ -29,6 +33,7 @@ comparison each.
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, persisted, table, text_bytes
+from .common import blocks, discard, map_arrow, map_batches, map_groups, persisted, table, text_bytes
 from .components import connected_components
 from .texthash import shingle_sets
 
@@ -46,14 +51,14 @@ COUNTED = 0.35
 FLUSH, BUCKET = 1_000_000, 500_000
 #: Frequent shingles: entries of a task's summary, documents of a task that have one at least, and documents in all.
 SUMMARY, LOCAL_HOT, HOT = 8192, 4, 256
-#: Sets that one task joins, pivots of a larger region, sets compared with a cell at once.
-REGION, PIVOTS, CELL = 1024, 16, 1024
-#: Pivots, with their sets, that are broadcast at once, about.
-MAX_PIVOTS = 8192
+#: Sets that one task joins, pivots of a larger region at most, and the share of a region that its cells may keep.
+REGION, PIVOTS, SHRINK = 1024, 32, 0.7
 #: Rows of 16 bytes that are broadcast at most.
 MAX_BROADCAST = 2_000_000
+#: Bits of a set's name before names that two sets share are replaced.
+NAME_BITS = 64
 
-_ORDER_BITS = 20  # low bits of a posting's code hold how many shingles a set may find shared before it matters
+_ORDER_BITS = 6  # low bits of a posting's code hold how many shingles a set may find shared before it matters
 _BUCKET_MUL = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -66,20 +71,66 @@ def linked(shared, n, m, percent: int):
     return 100 * shared >= percent * (n + m - shared)
 
 
-def digest(s: np.ndarray) -> int:
-    """The name of a set: 64 bits of its hash."""
-    return int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8")[0])
+@dataclass
+class Names:
+    """64-bit names of sets: the first bits of their 128-bit hash, but for the few that two sets would share."""
 
+    bits: int = 64
+    other: dict[tuple[int, int], int] = field(default_factory=dict)
 
-def members_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, h (a hash of the text), n (size of its set) and node (of the set's digest; null for an empty set)."""
+    def both(self, s: np.ndarray) -> tuple[int, int]:
+        a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8").tolist()
+        return a >> (64 - self.bits), b
+
+    def of(self, s: np.ndarray) -> int:
+        a, b = self.both(s)
+        return self.other.get((a, b), a) if self.other else a
+
+
+def members_of(docs: DataFrame, words: int, names: Names) -> DataFrame:
+    """doc_id, h (a hash of the text), n (size of its set), node (its name; null for an empty set) and node2 (the rest of its hash)."""
 
     def run(batch: pa.RecordBatch):
         for block in blocks(batch):
             sets = shingle_sets(text_bytes(block), words)
-            yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "h": block.column("h"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([digest(s) if len(s) else None for s in sets], pa.int64())})
-
-    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, n bigint, node bigint")
+            both = [names.both(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "h": block.column("h"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([a for a, _ in both], pa.int64()), "node2": pa.array([b for _, b in both], pa.int64())})
+
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, n bigint, node bigint, node2 bigint")
+
+
+def renamed(members: DataFrame, names: Names) -> tuple[DataFrame, Names]:
+    """``members`` and names of which no two sets share one; at 64 bits a few among billions are replaced."""
+    ends = members.groupBy("node").agg(F.min("node2").alias("a"), F.max("node2").alias("z"))
+    shared = [r.node for r in ends.where("a <> z").select("node").collect()]
+    if not shared:
+        return members, names
+    pairs = sorted((r.node, r.node2) for r in members.where(F.col("node").isin(shared)).select("node", "node2").distinct().collect())
+    other = {p: None for i, p in enumerate(pairs) if i and pairs[i - 1][0] == p[0]}
+    attempt = 0
+    while todo := [p for p, name in other.items() if name is None]:
+        attempt += 1
+        made = {p: int(np.frombuffer(xxhash.xxh3_64_digest(repr((p, attempt)).encode()), dtype="<i8")[0]) for p in todo}
+        taken = {r.node for r in members.where(F.col("node").isin(list(made.values()))).select("node").distinct().collect()} | {n for n in other.values() if n is not None}
+        for p, name in made.items():
+            if name not in taken:
+                other[p] = name
+                taken.add(name)
+    small = F.broadcast(members.sparkSession.createDataFrame([(a, b, n) for (a, b), n in other.items()], "node bigint, node2 bigint, _name bigint"))
+    out = members.join(small, ["node", "node2"], "left").withColumn("node", F.coalesce("_name", "node"))
+    return out.select("doc_id", "h", "n", "node", "node2"), Names(names.bits, other)
+
+
+def _slack_code(x: int) -> int:
+    """The greatest number that 6 bits can hold, as 2 bits times a power of two, and that isn't over x."""
+    if x < 4:
+        return max(0, x)
+    e = x.bit_length() - 3
+    return min(63, 4 * (e + 1) + (x >> e) - 4)
+
+
+def _slack(code: np.ndarray) -> np.ndarray:
+    return np.where(code < 4, code, (4 + code % 4) << np.maximum(code // 4 - 1, 0))
 
 
 def hot_shingles(docs: DataFrame, words: int, total: int) -> np.ndarray:
@@ -112,7 +163,7 @@ def hot_shingles(docs: DataFrame, words: int, total: int) -> np.ndarray:
         best = [(h, n) for h, n in seen.most_common(SUMMARY) if n >= LOCAL_HOT]
         yield pa.RecordBatch.from_pydict({"h": pa.array(np.array([h for h, _ in best], dtype=np.uint64).view(np.int64)), "n": pa.array([n for _, n in best], pa.int64())})
 
-    found = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    found = map_batches(docs.select("text"), run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     rows = found.where(F.col("n") >= max(HOT, total // 1_000_000)).select("h").collect()
     return np.sort(np.array([r.h for r in rows], dtype=np.int64).view(np.uint64))
 
@@ -142,12 +193,13 @@ def _token_bucket(token: np.ndarray, buckets: int) -> np.ndarray:
     return ((token * _BUCKET_MUL) >> np.uint64(32)).astype(np.int64) % buckets
 
 
-def shared_prefixes(docs: DataFrame, words: int, percent: int, hot: np.ndarray, buckets: int) -> DataFrame:
+def shared_prefixes(docs: DataFrame, words: int, percent: int, hot: np.ndarray, buckets: int, names: Names) -> DataFrame:
     """Packed postings (shingle, node) of the sets' prefixes, of shingles that another set has; buckets below 0 hold frequent shingles.
 
     The code of a posting on its way is the shingle without its low bits, which hold
-    the slack: of a set with more counted shingles than its prefix needs, as many
-    more as the slack tells may be found shared before a shared one is in the prefix.
+    the slack (rounded down): of a set with more counted shingles than its prefix
+    needs, as many more as the slack tells may be found shared before a shared one is
+    in the prefix.
     """
     spark: SparkSession = docs.sparkSession
     known = spark.sparkContext.broadcast(hot)
@@ -168,7 +220,7 @@ def shared_prefixes(docs: DataFrame, words: int, percent: int, hot: np.ndarray,
                 for s in shingle_sets(text_bytes(block), words):
                     if not len(s):
                         continue
-                    node = digest(s)
+                    node = names.of(s)
                     if node in done:
                         continue
                     if len(done) > 200_000:
@@ -186,7 +238,7 @@ def shared_prefixes(docs: DataFrame, words: int, percent: int, hot: np.ndarray,
                             rare_nodes.append(np.full(len(extra), node, dtype=np.int64))
                     counted = int(np.searchsorted(cold, limit))
                     take = cold[: max(counted, min(need, len(cold)))]
-                    slack = np.uint64(min(max(0, counted - need), int(low)))
+                    slack = np.uint64(_slack_code(counted - need))
                     tokens.append((take & ~low) | slack)
                     nodes.append(np.full(len(take), node, dtype=np.int64))
                     size += len(take)
@@ -237,21 +289,32 @@ def shared_prefixes(docs: DataFrame, words: int, percent: int, hot: np.ndarray,
         start = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
         n = np.diff(np.append(start, len(node)))
         rank = np.arange(len(node)) - np.repeat(start, n)
-        slack = (code & low).astype(np.int64)
+        slack = _slack((code & low).astype(np.int64))
         keep = rank < np.repeat(n, n) - slack
         token, node = token[keep], node[keep]
         b = _dealt(_token_bucket(token, buckets), token, node)
         return pa.Table.from_batches([b.cast(_schema())])
 
-    out = docs.select("text").mapInArrow(emit, _PACKED)
-    out = out.groupBy("bucket").applyInArrow(counted, _PACKED + ", more binary")
-    return persisted(out.groupBy("bucket").applyInArrow(chosen, _PACKED))
+    out = map_batches(docs.select("text"), emit, _PACKED)
+    out = map_groups(spark, out.groupBy("bucket"), counted, _PACKED + ", more binary")
+    return persisted(map_groups(spark, out.groupBy("bucket"), chosen, _PACKED))
 
 
 def _schema(more: bool = False) -> pa.Schema:
     return pa.schema([("bucket", pa.int32()), ("code", pa.binary()), ("node", pa.binary())] + [("more", pa.binary())] * more)
 
 
+def postings(prefixes: DataFrame) -> DataFrame:
+    """h (the shingle) and node, unpacked."""
+
+    def unpacked(batch: pa.RecordBatch):
+        for i in range(batch.num_rows):
+            token, node = _gathered(pa.Table.from_batches([batch.slice(i, 1)]))
+            yield pa.RecordBatch.from_pydict({"h": pa.array(token.view(np.int64)), "node": pa.array(node)})
+
+    return map_arrow(prefixes.select("code", "node"), unpacked, "h bigint, node bigint")
+
+
 def region_edges(prefixes: DataFrame) -> DataFrame:
     """a, b: each set of a shingle's region with the region's smallest set."""
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -266,24 +329,15 @@ def region_edges(prefixes: DataFrame) -> DataFrame:
         edges = edges[edges[:, 0] != edges[:, 1]]
         return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=pair)
 
-    def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
-        token, node = _gathered(pa.Table.from_batches([batch]))
-        return pa.RecordBatch.from_pydict({"h": pa.array(token.view(np.int64)), "node": pa.array(node)})
-
-    rare = prefixes.where("bucket >= 0").groupBy("bucket").applyInArrow(stars, "a bigint, b bigint")
-    frequent = map_arrow(prefixes.where("bucket < 0"), unpacked, "h bigint, node bigint")
+    rare = map_groups(prefixes.sparkSession, prefixes.where("bucket >= 0").groupBy("bucket"), stars, "a bigint, b bigint")
+    frequent = postings(prefixes.where("bucket < 0"))
     least = frequent.groupBy("h").agg(F.min("node").alias("b"))  # at most a million shingles
     tied = frequent.join(F.broadcast(least), "h").select(F.col("node").alias("a"), "b").where("a <> b")
     return rare.union(tied).distinct()
 
 
-def local_classes(nodes: list[int], sets: list[np.ndarray], percent: int, other: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
-    """The class (index of one of its sets) of each set under links, exactly.
-
-    ``known`` gives classes already known. With ``other`` (boolean), only pairs of a
-    set where it is true and one where it is false are compared, and those of two
-    where it is false.
-    """
+def local_classes(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """The class (index of one of its sets) of each set under links, exactly; ``known`` gives classes already known."""
     m = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     universe, token = np.unique(np.concatenate(sets), return_inverse=True)
@@ -302,10 +356,6 @@ def local_classes(nodes: list[int], sets: list[np.ndarray], percent: int, other:
         if len(merge) > 1:
             label = np.where(np.isin(label, merge), merge[0], label)
 
-    if other is not None:
-        for i in np.flatnonzero(~other).tolist():
-            compare(i)
-        return label
     # the sets with the most shingles in common with others tend to be a group's centre
     df = np.bincount(token)
     centre = np.argsort(-np.add.reduceat(np.log1p(df[token]), first) / size, kind="stable")
@@ -320,12 +370,18 @@ def local_classes(nodes: list[int], sets: list[np.ndarray], percent: int, other:
     return label
 
 
-def _tables(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct nodes and their sets."""
-    node = t.column("node").to_numpy()
-    names, at = np.unique(node, return_index=True)
+def _sets(t: pa.Table, extra: str | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray | None]:
+    """Distinct nodes, their sets and another column."""
+    names, at = np.unique(t.column("node").to_numpy(), return_index=True)
     col = t.column("tokens")
-    return names, [np.frombuffer(col[int(i)].as_py(), dtype=np.uint64) for i in at]
+    return names, [np.frombuffer(col[int(i)].as_py(), dtype=np.uint64) for i in at], t.column(extra).to_numpy()[at] if extra else None
+
+
+_LINK = "a bigint, b bigint"
+
+
+def _link_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(a[a != b]), pa.array(b[a != b])], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def classes_of_regions(sets: DataFrame, percent: int) -> DataFrame:
@@ -333,116 +389,185 @@ def classes_of_regions(sets: DataFrame, percent: int) -> DataFrame:
     out = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
-        names, own = _tables(t)
-        label = local_classes(names.tolist(), own, percent)
+        names, own, _ = _sets(t)
+        label = local_classes(own, percent)
         return pa.table([pa.array(names), pa.array(names[label])], schema=out)
 
-    return sets.groupBy("region").applyInArrow(run, "node bigint, root bigint")
+    return map_groups(sets.sparkSession, sets.groupBy("region"), run, "node bigint, root bigint")
 
 
-def links_of_large_regions(sets: DataFrame, percent: int, cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:
-    """a, b: links that connect the classes of regions too large for a task; sets has region, size (of the region), node, tokens."""
-    spark = sets.sparkSession
-    eps = 1 - percent / 100
-    chance = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) < F.floor(F.lit(float(pivots << 30)) / F.col("size"))
-    first = sets.groupBy("region").agg(F.min(F.struct("node", "tokens")).alias("p")).select("region", "p.node", "p.tokens")
-    picked = sets.where(chance).select("region", "node", "tokens").union(first).distinct()
-    rows = picked.collect()  # about ``pivots`` sets of each large region
-    by: dict[int, tuple[np.ndarray, list]] = {}
-    for r in rows:
-        by.setdefault(r.region, []).append((r.node, bytes(r.tokens)))
-    shared = spark.sparkContext.broadcast(by)
-
-    def near(batch: pa.RecordBatch):
-        """Distance to each pivot, the nearest, and links to pivots."""
-        got = {k: [] for k in ("region", "node", "tokens", "pivot", "distance", "distances", "to")}
-        for region, node, tokens in zip(*(batch.column(k).to_pylist() for k in ("region", "node", "tokens")), strict=True):
-            own = np.frombuffer(tokens, dtype=np.uint64)
-            d, to = [], []
-            for p, raw in shared.value[region]:
-                other = np.frombuffer(raw, dtype=np.uint64)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                d.append(1 - both / (len(own) + len(other) - both))
-                if linked(both, len(own), len(other), percent):
-                    to.append(p)
-            best = int(np.argmin(d))
-            for k, v in zip(got, (region, node, tokens, shared.value[region][best][0], d[best], d, to), strict=True):
-                got[k].append(v)
-        yield pa.RecordBatch.from_pydict({"region": pa.array(got["region"], pa.int64()), "node": pa.array(got["node"], pa.int64()), "tokens": pa.array(got["tokens"], pa.binary()), "pivot": pa.array(got["pivot"], pa.int64()), "distance": pa.array(got["distance"], pa.float64()), "distances": pa.array(got["distances"], pa.list_(pa.float64())), "to": pa.array(got["to"], pa.list_(pa.int64()))})
-
-    placed = persisted(map_arrow(sets.select("region", "node", "tokens"), near, "region bigint, node bigint, tokens binary, pivot bigint, distance double, distances array<double>, to array<bigint>"))
-    star = placed.select(F.col("node").alias("a"), F.explode("to").alias("b"))
-    roots = persisted(connected_components(star))
-    known = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = known.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("region").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    known = known.join(largest, "region")
-    # cells: a pivot's Voronoi region in parts of about ``cell`` sets, each with its radius
-    full = known.groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    known = known.join(full, ["region", "pivot"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.ceil(F.col("n") / cell)))
-    known = persisted(known.select("region", "node", "tokens", "pivot", "part", "distance", "distances", "root", (F.col("root") != F.col("main")).alias("outside")))
-    cells = known.groupBy("region", "pivot").agg(F.max("distance").alias("radius"), (F.max("part") + 1).alias("parts"))
-    cells = {r: [] for r in by} | {k: v for k, v in _by_region(cells.collect()).items()}  # a row for each pivot
-    order = {region: [p for p, _ in found] for region, found in by.items()}
-    plan = spark.sparkContext.broadcast((cells, order))
-    outs = known.where("outside").groupBy("region").agg(F.count(F.lit(1)).alias("n_out"))
-    probe = known.where("outside").join(outs, "region").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.ceil(F.col("n_out") / cell)))
-
-    def windows(batch: pa.RecordBatch):
-        """A probe goes to each cell whose pivot is within the cell's radius and eps."""
-        cells, order = plan.value
-        keys = {k: [] for k in ("region", "pivot", "part", "block", "node", "tokens", "root")}
-        for region, block, node, tokens, root, distances in zip(*(batch.column(k).to_pylist() for k in ("region", "block", "node", "tokens", "root", "distances")), strict=True):
-            d = dict(zip(order[region], distances, strict=True))
-            for pivot, radius, parts in cells[region]:
-                if d[pivot] <= radius + eps + 1e-9:
-                    for part in range(parts):
-                        for k, v in zip(keys, (region, pivot, part, block, node, tokens, root), strict=True):
-                            keys[k].append(v)
-        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "tokens" else pa.int64()) for k, v in keys.items()})
-
-    columns = ["region", "pivot", "part", "block", "node", "tokens", "root"]
-    probes = map_arrow(probe.select("region", "block", "node", "tokens", "root", "distances"), windows, "region bigint, pivot bigint, part bigint, block bigint, node bigint, tokens binary, root bigint")
-    n_blocks = probes.select("region", "pivot", "part", "block").distinct()
-    base = known.select("region", "pivot", "part", "node", "tokens", "root").join(n_blocks, ["region", "pivot", "part"]).select(*columns)
-    both = probes.withColumn("base", F.lit(False)).union(base.withColumn("base", F.lit(True)))
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def join(t: pa.Table) -> pa.Table:
-        is_base = t.column("base").to_numpy(zero_copy_only=False)
-        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
-        order = np.lexsort((is_base, node))  # a set that is on both sides counts as a probe
-        first = np.append(True, node[order][1:] != node[order][:-1])
-        at = order[first]
-        own = [np.frombuffer(t.column("tokens")[int(i)].as_py(), dtype=np.uint64) for i in at]
-        label = local_classes(node[at].tolist(), own, percent, other=is_base[at], known=root[at])
-        return pa.table([pa.array(node[at]), pa.array(node[at][label])], schema=out)
-
-    found = both.groupBy("region", "pivot", "part", "block").applyInArrow(join, "a bigint, b bigint")
-    return found.where("a <> b").union(star.where("a <> b")).distinct()
-
-
-def _by_region(rows) -> dict[int, list[tuple[int, float, int]]]:
-    out: dict[int, list[tuple[int, float, int]]] = {}
-    for r in rows:
-        out.setdefault(r.region, []).append((r.pivot, r.radius, r.parts))
+def links_within(sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """a, b: links that connect the classes of regions that fit a task; root gives classes already known."""
+
+    def run(t: pa.Table) -> pa.Table:
+        names, own, root = _sets(t, "root")
+        return _link_table(names, names[local_classes(own, percent, root)])
+
+    return map_groups(sets.sparkSession, sets.groupBy(*keys), run, _LINK)
+
+
+def links_of_large_regions(sets: DataFrame, prefixes: DataFrame, percent: int, limit: int = REGION) -> DataFrame:
+    """a, b: links that connect the classes of regions too large for a task; sets has region, size (of the region), node, tokens.
+
+    Each round joins the regions that fit a task and divides the others, whose parts
+    are smaller by ``SHRINK`` at least, so that rounds grow with the logarithm of the
+    largest region.
+    """
+    level = sets.select("region", "size", "node", "tokens", F.col("node").alias("root"), F.lit(True).alias("home"), F.lit(False).alias("listed"))
+    found = []
+    while True:
+        found.append(links_within(level.where(F.col("size") <= limit), ["region"], percent))
+        large = level.where(F.col("size") > limit)
+        if large.isEmpty():
+            break
+        placed, stars = _placed(large, percent, limit)
+        cells, wide = _cells(placed, percent)
+        found.append(stars)
+        parts = _in_cells(placed, cells, percent)
+        if not wide.isEmpty():
+            again = placed.join(wide, "region", "left_semi")
+            found.append(_links_in_blocks(again.where("listed"), percent, limit))
+            parts = parts.unionByName(_listed(again.where("not listed"), prefixes))
+        level = persisted(parts)
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
     return out
 
 
+def _placed(large: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Members with pivots and their distances, the nearest and the root of its class; and links to pivots."""
+    spark = large.sparkSession
+    wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(4), F.ceil(4 * F.col("size") / limit)))
+    chance = F.pmod(F.xxhash64("region", "node", F.lit("pivot")), F.lit(1 << 30)) < F.floor(wanted * float(1 << 30) / F.col("size"))
+    first = large.groupBy("region", "size").agg(F.min(F.struct("node", "tokens")).alias("p")).select("region", "size", "p.node", "p.tokens")
+    pivots = large.where(chance).select("region", "size", "node", "tokens").union(first).dropDuplicates(["region", "node"])
+    # members in blocks of a task's size, each with all pivots of its region
+    parts = F.ceil(F.col("size") / limit).cast("bigint")
+    rows = large.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), parts)).withColumn("pivot", F.lit(False))
+    copies = pivots.select("region", "size", "node", "tokens", F.lit(0).cast("bigint").alias("root"), F.lit(False).alias("home"), F.lit(False).alias("listed"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.lit(True).alias("pivot"))
+    keep = ["region", "size", "node", "tokens", "root", "home", "listed"]
+
+    def near(t: pa.Table) -> pa.Table:
+        is_pivot = t.column("pivot").to_numpy(zero_copy_only=False)
+        own = [np.frombuffer(x, dtype=np.uint64) for x in t.column("tokens").to_pylist()]
+        size = np.array([len(x) for x in own], dtype=np.int64)
+        universe, token = np.unique(np.concatenate(own), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        node = t.column("node").to_numpy()
+        at = np.flatnonzero(is_pivot)[np.argsort(node[is_pivot], kind="stable")]
+        mark = np.zeros(len(universe), dtype=np.int32)
+        distance, hit = np.zeros((len(at), len(own))), np.zeros((len(at), len(own)), dtype=bool)
+        for k, i in enumerate(at.tolist()):
+            mine = token[begin[i] : begin[i] + size[i]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[token], begin)
+            mark[mine] = 0
+            distance[k] = 1 - both / (size[i] + size - both)
+            hit[k] = linked(both, size[i], size, percent)
+        rows = np.flatnonzero(~is_pivot)
+        names = node[at]
+        best = distance[:, rows].argmin(axis=0)
+        out = t.select(keep).take(pa.array(rows))
+        out = out.append_column("pivots", pa.array([names.tolist()] * len(rows), pa.list_(pa.int64())))
+        out = out.append_column("distances", pa.array(distance[:, rows].T.tolist(), pa.list_(pa.float64())))
+        out = out.append_column("nearest", pa.array(names[best]))
+        return out.append_column("linked", pa.array([names[hit[:, r]].tolist() for r in rows], pa.list_(pa.int64())))
+
+    schema = "region bigint, size bigint, node bigint, tokens binary, root bigint, home boolean, listed boolean, pivots array<bigint>, distances array<double>, nearest bigint, linked array<bigint>"
+    placed = persisted(map_groups(spark, rows.unionByName(copies).groupBy("region", "part"), near, schema))
+    stars = placed.select(F.col("node").alias("a"), F.explode("linked").alias("b")).where("a <> b")
+    # pivots that some member is linked to are of one class
+    pairs = placed.where(F.size("linked") > 1).select("region", F.col("linked")[0].alias("a"), F.explode("linked").alias("b")).where("a <> b").distinct()
+
+    def classes(t: pa.Table) -> pa.Table:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+        names = sorted(up)
+        return pa.table({"region": pa.array([t.column("region")[0].as_py()] * len(names), pa.int64()), "first": pa.array(names, pa.int64()), "class": pa.array([top(x) for x in names], pa.int64())})
+
+    of = persisted(map_groups(spark, pairs.groupBy("region"), classes, "region bigint, first bigint, class bigint"))  # PIVOTS rows, about, of a region
+    placed = placed.withColumn("first", F.when(F.size("linked") > 0, F.col("linked")[0]).otherwise(F.col("root")))
+    return placed.join(of, ["region", "first"], "left").withColumn("root", F.coalesce("class", "first")).drop("first", "class", "linked"), stars
+
+
+def _in_windows(placed: DataFrame, cells: DataFrame, eps: float) -> DataFrame:
+    """Members with the cells (pivot, radius, cell, n) that they belong to: home where their nearest pivot is the cell's.
+
+    A pair is found in the cell of one of its home members. Of two home members in
+    different cells, only the one whose pivot is the greater goes to the other's cell.
+    """
+    met = placed.join(cells, "region").withColumn("cell", F.explode("cells"))
+    own = F.col("home") & (F.col("nearest") == F.col("cell.pivot"))
+    d = F.map_from_arrays("pivots", "distances")[F.col("cell.pivot")]
+    near = (d <= F.col("cell.radius") + F.lit(eps + 1e-9)) & (~F.col("home") | (F.col("cell.pivot") < F.col("nearest")))
+    return met.withColumn("home_here", own).where(own | near)
+
+
+def _cells(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """region and its cells that hold several classes, and region of those whose cells aren't smaller than they are."""
+    eps = 1 - percent / 100
+    radius = placed.where("home").groupBy("region", F.col("nearest").alias("pivot")).agg(F.max(F.element_at(F.map_from_arrays("pivots", "distances"), F.col("nearest"))).alias("radius"))
+    all_ = radius.groupBy("region").agg(F.collect_list(F.struct("pivot", "radius")).alias("cells"))  # PIVOTS, about, of a region
+    narrow = _in_windows(placed.select("region", "size", "home", "root", "nearest", "pivots", "distances", F.octet_length("tokens").alias("bytes")), all_, eps)
+    stats = narrow.groupBy("region", "size", "cell").agg(_weight().alias("n"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed")
+    stats = persisted(stats.select("region", "size", "n", "cell.pivot", "cell.radius"))
+    fits = stats.groupBy("region", "size").agg(F.max("n").alias("most"), F.sum("n").alias("total")).withColumn("wide", (F.col("most") > SHRINK * F.col("size")) | (F.col("total") > 4 * F.col("size")))
+    wide = fits.where("wide").select("region")
+    cells = stats.join(wide, "region", "left_anti").groupBy("region").agg(F.collect_list(F.struct("pivot", "radius", F.xxhash64("region", "pivot").alias("id"), "n")).alias("cells"))
+    return cells, wide
+
+
+def _in_cells(placed: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    met = _in_windows(placed, cells, 1 - percent / 100)
+    return met.select(F.col("cell.id").alias("region"), F.col("cell.n").alias("size"), "node", "tokens", "root", F.col("home_here").alias("home"), "listed")
+
+
+def _listed(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The sets of each prefix shingle of a region as regions of their own; of shingles with the same sets one."""
+    lists = postings(prefixes).distinct().join(rows.select("region", "node", "root", F.octet_length("tokens").alias("bytes")), "node").withColumn("list", F.xxhash64("region", "h"))
+    stats = lists.groupBy("region", "list").agg(F.count(F.lit(1)).alias("n"), _weight().alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), (F.min("root") != F.max("root")).alias("mixed"))
+    one = stats.where("mixed").groupBy("region", "n", "size", "x", "y").agg(F.min("list").alias("list")).select("list", "size")
+    members = lists.select("region", "list", "node").join(one, "list")
+    return rows.drop("size").join(members, ["region", "node"]).select(F.col("list").alias("region"), "size", "node", "tokens", "root", F.lit(True).alias("home"), F.lit(True).alias("listed"))
+
+
+def _links_in_blocks(rows: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Links of regions that nothing divides: blocks of half a task's size, each two of them in one task."""
+    blocks_ = F.ceil(2 * F.col("size") / limit).cast("bigint")
+    own = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), blocks_)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks_ - 1)))
+    return links_within(own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")), ["region", "i", "j"], percent)
+
+
+def _weight() -> F.Column:
+    """The size of a group: its sets, or thousands of shingles if these are more."""
+    return F.greatest(F.count(F.lit(1)), F.ceil(F.sum("bytes") / 8000))
+
+
 def _classed(docs: DataFrame, words: int, percent: int, region: int, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h, n, node) of ``docs``, and node, root of the sets that link with another set."""
     docs = docs.select("doc_id", "text")
-    members = persisted(members_of(docs, words))
-    nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_rep"))
+    members = persisted(members_of(docs, words, Names(NAME_BITS)))
+    members, names = renamed(members, Names(NAME_BITS))
+    nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_rep"), (8 * F.max("n")).alias("bytes"))
     total = int(members.agg(F.sum("n")).first()[0] or 0)
     hot = hot_shingles(docs, words, total)
     buckets = max(4, -(-int(COUNTED * total) // BUCKET))
-    prefixes = shared_prefixes(docs, words, percent, hot, buckets)
-    regions = persisted(connected_components(region_edges(prefixes))).withColumnRenamed("root", "region")
-    large = persisted(regions.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > region))
-    sized = regions.join(F.broadcast(large) if large.count() <= max_broadcast else large, "region", "left").fillna(0, "size")
-    wanted = persisted(sized.join(nodes, "node").select("node", "region", "size", "_rep"))
-    if wanted.count() <= max_broadcast:
+    prefixes = shared_prefixes(docs, words, percent, hot, buckets, names)
+    regions = connected_components(region_edges(prefixes)).withColumnRenamed("root", "region")
+    inside = persisted(regions.join(nodes, "node").select("node", "region", "_rep", "bytes"))
+    large = persisted(inside.groupBy("region").agg(_weight().alias("size")).where(F.col("size") > region))
+    n_large = large.count()
+    wanted = inside.drop("bytes").join(F.broadcast(large) if n_large <= max_broadcast else large, "region", "left").fillna(0, "size")
+    if inside.count() <= max_broadcast:
         wanted = F.broadcast(wanted)
     chosen = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text", "node", "region", "size")
 
@@ -450,16 +575,14 @@ def _classed(docs: DataFrame, words: int, percent: int, region: int, max_broadca
         for block in blocks(batch):
             sets = shingle_sets(text_bytes(block), words)
             node = block.column("node").to_pylist()
-            on = [i for i, s in enumerate(sets) if len(s) and digest(s) == node[i]]  # another row may have the same doc_id
+            on = [i for i, s in enumerate(sets) if len(s) and names.of(s) == node[i]]  # another row may have the same doc_id
             take = pa.array(on, pa.int64())
             yield pa.RecordBatch.from_pydict({k: block.column(k).take(take) for k in ("region", "size", "node")} | {"tokens": pa.array([sets[i].tobytes() for i in on], pa.binary())})
 
-    sets = persisted(map_arrow(chosen, sets_of, "region bigint, size bigint, node bigint, tokens binary"))
+    sets = persisted(map_arrow(chosen, sets_of, "region bigint, size bigint, node bigint, tokens binary").dropDuplicates(["node"]))
     roots = classes_of_regions(sets.where(F.col("size") <= region), percent)
-    rounds = -(-large.count() * PIVOTS // MAX_PIVOTS)  # so that the pivots of a round are few enough to broadcast
-    for r in range(rounds):
-        part = sets.where((F.col("size") > region) & (F.pmod(F.xxhash64("region"), F.lit(rounds)) == r))
-        roots = roots.union(connected_components(links_of_large_regions(part, percent, cell=region)))
+    if n_large:
+        roots = roots.union(connected_components(links_of_large_regions(sets.where(F.col("size") > region), prefixes, percent, region)))
     return members, persisted(roots)
 
 

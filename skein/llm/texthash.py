@@ -9,6 +9,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+#: Bytes hashed at once.
+PART = 1 << 21
 _RNG = np.random.default_rng(20240229)
 _VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << 16) - 1, _M1)]), dtype=np.uint64)
@@ -25,22 +27,35 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (a run without ASCII white space, A-Z lower-cased), and where each text's words begin (and all end)."""
     size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     b = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(b):
+        end = at + PART
+        while end < len(b) and not _SPACE[b[end - 1]]:  # to the end of the word
+            rest = np.flatnonzero(_SPACE[b[end : end + PART]])
+            end += int(rest[0]) + 1 if len(rest) else PART
+        start, h = _hashed(b[at:end])
+        starts.append(start + at)
+        hashes.append(h)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), np.concatenate([[0], np.cumsum(size)]))
+
+
+def _hashed(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of some bytes."""
     space = _SPACE[b]
     edge = np.flatnonzero(np.diff(space, prepend=True))
-    start, end = edge[::2], edge[1::2]
-    text_end = np.cumsum(size)
-    begins = np.searchsorted(start, np.concatenate([[0], text_end]))
+    start = edge[::2]
     if not len(start):
-        return np.zeros(0, np.uint64), begins
-    length = end - start
-    offset = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b)))) if start[0] == 0 else np.concatenate([np.zeros(start[0], np.int64), np.arange(start[0], len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))])
+        return start, np.zeros(0, np.uint64)
+    length = np.append(edge[1::2], len(b))[: len(start)] - start
+    offset = np.arange(len(b)) - np.concatenate([np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(b))))])
     value = _VALUE[_LOWER[b]]
     value[space] = 0
     if int(length.max()) < len(_POWER):
         value *= _POWER[np.minimum(offset, len(_POWER) - 1)]
     else:
         value *= _POWER[offset & 0xFFFF] * _HIGH[(offset >> 16) & 0x3FFF]
-    return mixed(np.add.reduceat(value, start) + length.astype(np.uint64)), begins
+    return start, mixed(np.add.reduceat(value, start) + length.astype(np.uint64))
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from skein.llm import jaccard as J
@@ -48,7 +49,7 @@ def texts(rng, n, base_words, edits):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"region": 3}, {"max_broadcast": 0, "region": 8}])
+@pytest.mark.parametrize("options", [{}, {"region": 3}, {"max_broadcast": 0, "region": 12}])
 def test_against_brute_force(spark, monkeypatch, options):
     rng = random.Random(7)
     monkeypatch.setattr(J, "HOT", 12)  # so that frequent shingles are met
@@ -62,6 +63,43 @@ def test_against_brute_force(spark, monkeypatch, options):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("bits, pivots", [(64, 32), (3, 4)])
+def test_regions_that_grew_together(spark, monkeypatch, bits, pivots):
+    """Unlike texts, each with shingles of the next: one region, all distances near 1, and copies here and there."""
+    monkeypatch.setattr(J, "PIVOTS", pivots)
+    monkeypatch.setattr(J, "NAME_BITS", bits)  # with few bits, sets share names that must be replaced
+    rng = random.Random(11)
+    bridge = [" ".join(f"b{i}x{j}" for j in range(8)) for i in range(121)]
+    body = [" ".join(f"t{i}x{rng.randrange(1000)}" for _ in range(25)) for i in range(120)]
+    found = [f"{bridge[i]} {body[i]} {bridge[i + 1]}" for i in range(120)]
+    for i in range(0, 120, 5):
+        w = found[i].split()
+        w[rng.randrange(len(w))] = "edited"
+        found.append(" ".join(w))
+    found += [f"common words that many unlike texts have {' '.join(f'u{i}x{j}' for j in range(4))}" for i in range(40)]
+    rows = [(5000 - i, t) for i, t in enumerate(found)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.link_classes(docs, region=6).collect())
+    assert got == brute(rows)
+
+
+def test_everything_overlaps(spark, monkeypatch):
+    """A region of one set a task, all sets with shingles in common, none or all of them links."""
+    monkeypatch.setattr(J, "PIVOTS", 4)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(base[:12] + [f"x{i}y{rng.randrange(9)}" for _ in range(6)] + base[12 : 12 + rng.randrange(28)])) for i in range(45)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.link_classes(docs, region=1).collect())
+    assert got == brute(rows)
+
+
+def test_slack_codes():
+    for x in [*range(3000), 114688, 10**6]:
+        code = J._slack_code(x)
+        assert 0 <= code < 64 and (back := int(J._slack(np.array([code]))[0])) <= x and (back >= 0.79 * x or x > 114688)
+
+
 def test_odd_tables(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.link_classes(odd).collect()) == brute(rows)
