@@ -17,6 +17,8 @@ SQL = {
     "flt_lt": "select c_custkey from customer where c_acctbal<0",  # F8
     "flt_ge": "select p_partkey from part where p_size>=40",  # F9
     "flt_le": "select p_partkey from part where p_size<=5",  # F10
+    "flt_bool_ne": "select c_custkey from customer where (c_acctbal<0)<>false",  # F6
+    "flt_binary_eq": "select c_custkey from customer where c_mktsegment='BUILDING'",  # F5
     "flt_and_range": "select p_partkey from part where p_size>10 and p_size<30 and p_retailprice>=920 and p_retailprice<=980",  # F11 X4
     "flt_or": "select p_partkey from part where p_size<3 or p_retailprice<950",  # F12
     "flt_not": "select p_partkey from part where not (p_size<25)",  # F13 L1

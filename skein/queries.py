@@ -63,6 +63,8 @@ _filter("flt_gt", "customer", where(h["customer.c_acctbal"], ">", 5000.0), c_cus
 _filter("flt_lt", "customer", where(h["customer.c_acctbal"], "<", 0.0), c_custkey="item_id")
 _filter("flt_ge", "part", where(h["part.p_size"], ">=", 40), p_partkey="item_id")
 _filter("flt_le", "part", where(h["part.p_size"], "<=", 5), p_partkey="item_id")
+_filter("flt_bool_ne", "customer", where(h["customer.c_in_debt"], "!=", False), c_custkey="item_id")
+_filter("flt_binary_eq", "customer", where(h["customer.c_tag"], "=", b"BUILDING"), c_custkey="item_id")
 _size, _price = h["part.p_size"], h["part.p_retailprice"]
 _filter("flt_and_range", "part", all_of(where(_size, ">", 10), where(_size, "<", 30), where(_price, ">=", 920.0), where(_price, "<=", 980.0)), p_partkey="item_id")
 _filter("flt_or", "part", any_of(where(_size, "<", 3), where(_price, "<", 950.0)), p_partkey="item_id")

@@ -26,7 +26,7 @@ class Bound:
         region = self._table(b, "region", "region", {"item_id": "cast(r_regionkey as bigint)"}, r_name=S)
         nation = self._table(b, "nation", "nation", {"item_id": "cast(n_nationkey as bigint)", "n_regionkey": "cast(n_regionkey as bigint)"}, n_name=S)
         self._parent(nation, "nation", "n_regionkey", region)
-        customer = self._table(b, "customer", "customer", {"item_id": "c_custkey", "c_nationkey": "cast(c_nationkey as bigint)"}, c_name=S, c_acctbal=D, c_mktsegment=S)
+        customer = self._table(b, "customer", "customer", {"item_id": "c_custkey", "c_nationkey": "cast(c_nationkey as bigint)", "c_in_debt": "c_acctbal < 0", "c_tag": "cast(c_mktsegment as binary)"}, c_name=S, c_acctbal=D, c_mktsegment=S, c_in_debt=ValueType.BOOL, c_tag=ValueType.BINARY)
         self._parent(customer, "customer", "c_nationkey", nation)
         part = self._table(b, "part", "part", {"item_id": "p_partkey", "p_size": "cast(p_size as bigint)"}, p_size=I, p_retailprice=D)
         part.add_range_index([self.h["part.p_size"], self.h["part.p_retailprice"]])
