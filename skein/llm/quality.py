@@ -25,6 +25,8 @@ from .common import persisted, table
 ALPHA, DELTA = 0.02, 0.05
 #: Strata whose cutoffs are broadcast.
 MAX_STRATA = 100_000
+#: Columns that ``judge`` adds.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rung", "cutoff_rung", "kept")
 #: Words of the windows in which repeats are sought, and of those in which distinct words are counted.
 WINDOW, SAME_WINDOW = 8, 50
 #: Cutoffs from lenient to strict.
@@ -156,16 +158,15 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, alp
     and calibration and verdicts read from there. Counts for each stratum and rung
     are all that the labels leave; they join back as a row for each stratum.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rung", "cutoff_rung", "kept"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    staged = docs.drop(*made).withColumn("__skein_q_stratum", stratum_of(docs)).withColumn("__skein_q_hash", F.xxhash64("text"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
+    staged = docs.drop(*RESULTS).withColumn("__skein_q_stratum", stratum_of(docs)).withColumn("__skein_q_hash", F.xxhash64("text"))
     scored = persisted(with_signals(staged, [*dict.fromkeys([*keep, "doc_id", "__skein_q_stratum", "__skein_q_hash"])]))
     judged = scored.select("doc_id", F.col("__skein_q_stratum").alias("stratum"), F.col("__skein_q_hash").alias("text_hash"), "rung", "base_failed")
     cutoffs = persisted(certified_rungs(trials(judged, labels), alpha, delta).withColumnRenamed("stratum", "__skein_q_stratum"))
     if cutoffs.count() <= MAX_STRATA:  # else they are joined by a shuffle
         cutoffs = F.broadcast(cutoffs)
     out = scored.join(cutoffs, "__skein_q_stratum", "left").withColumn("cutoff_rung", F.coalesce("cutoff_rung", F.lit(0)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rung") > F.col("cutoff_rung"))).select(*keep, *made)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rung") > F.col("cutoff_rung"))).select(*keep, *RESULTS)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,18 +61,14 @@ def tail_by_hand(k, n, p):
     return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
 
 
-def test_verdicts_by_brute_force(spark):
-    d = "/root/testdata/sf0.1"
-    docs = {r.doc_id: r for r in spark.read.parquet(d + "/documents.parquet").collect()}
-    said = {r.doc_id: r.quality for r in spark.read.parquet(d + "/labels.parquet").collect()}
-    rung = {i: rung_by_hand(r.text) for i, r in docs.items()}
-    failed = {i: expected(r.text)[5] for i, r in docs.items()}
+def cutoffs_by_hand(docs, said):
+    """Cutoff rung of each stratum, of docs (id: text, stratum) and labels."""
     once = {}
     for i, q in said.items():
-        if i in docs and q is not None and not failed[i]:
-            key = (docs[i].lang or "und", docs[i].text)
+        if i in docs and q is not None and not expected(docs[i][0])[5]:
+            key = (docs[i][1], docs[i][0])
             r, good = once.get(key, (99, True))
-            once[key] = (min(r, rung[i]), good and q > 0)
+            once[key] = (min(r, rung_by_hand(docs[i][0])), good and q > 0)
     strata = {s for s, _ in once}
     cutoff = {}
     for s in strata:
@@ -85,9 +81,16 @@ def test_verdicts_by_brute_force(spark):
             caught = sum(r <= c for r in poor)
             best = max(best, (caught, -c)) if caught else best
         cutoff[s] = -best[1]
+    return cutoff
+
+
+def test_verdicts_by_brute_force(spark):
+    d = "/root/testdata/sf0.1"
+    docs = {r.doc_id: (r.text, r.lang or "und") for r in spark.read.parquet(d + "/documents.parquet").collect()}
+    cutoff = cutoffs_by_hand(docs, {r.doc_id: r.quality for r in spark.read.parquet(d + "/labels.parquet").collect()})
     assert any(cutoff.values())
-    got = {r.doc_id: (r.rung, r.base_failed, r.kept) for r in Q.op4_quality_rules(spark, d).collect()}
-    assert got == {i: (rung[i], failed[i], not failed[i] and rung[i] > cutoff.get(r.lang or "und", 0)) for i, r in docs.items()}
+    want = {i: (rung_by_hand(t), f := expected(t)[5], not f and rung_by_hand(t) > cutoff.get(lang, 0)) for i, (t, lang) in docs.items()}
+    assert {r.doc_id: (r.rung, r.base_failed, r.kept) for r in Q.op4_quality_rules(spark, d).collect()} == want
 
 
 def test_a_repeated_row_is_one_trial(spark):
