@@ -18,7 +18,9 @@ of ``length - q`` starts:
    cut at fixed offsets, and each piece goes to the bucket of the symbols that all of
    its strings have in common, down to single strings.
 
-Each document then loses the bytes that its repeated strings cover.
+Each document then loses the bytes that its repeated strings cover. Nothing is
+broadcast but what the planner finds small: the joins of segments, of the texts that
+are read again and of results are shuffles at any size.
 """
 
 from __future__ import annotations
@@ -39,8 +41,6 @@ BLOCK, PIECE = 1 << 19, 1 << 19
 BUCKET, TASK = 4_000, 4_000
 #: Widths of offset ranges into which a large bucket's segments are cut, in turn.
 CUTS = (64, 8, 1)
-#: Rows of 40 bytes that are broadcast at most.
-MAX_BROADCAST = 1_000_000
 
 _RNG = np.random.default_rng(19931028)
 _VALUES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -214,7 +214,7 @@ _SPAN = "bucket bigint, ref bigint, start bigint, stop bigint, anchor bigint, hi
 _RANGE = "ref bigint, start bigint, stop bigint, other boolean"
 
 
-def repeated_ranges(keyed: DataFrame, length: int, q: int, unit=Bytes, bucket_limit: int = BUCKET, task_size: int = TASK, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, length: int, q: int, unit=Bytes, bucket_limit: int = BUCKET, task_size: int = TASK) -> DataFrame:
     """ref, ranges (start, stop) and other: starts, stop excluded, of repeated strings in the texts with that ref, and whether a text of another ref has one of them.
 
     ``keyed`` has ref, which is a name of the text's document, and text.
@@ -231,15 +231,11 @@ def repeated_ranges(keyed: DataFrame, length: int, q: int, unit=Bytes, bucket_li
     kinds = persisted(parts.groupBy("bucket", "hi", "lo").agg(F.count(F.lit(1)).alias("n"), one, F.max("ref").alias("last")))
     # whole segments found twice
     whole = kinds.where("n > 1").select("hi", "lo", (F.col("one.ref") != F.col("last")).alias("other"))
-    if whole.count() <= max_broadcast:
-        whole = F.broadcast(whole)
     ranges = [parts.join(whole, ["hi", "lo"]).select("ref", "start", "stop", "other")]
     # one segment of each kind in buckets with several kinds
     several = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     chosen = persisted(kinds.join(several, "bucket").select("bucket", "hi", "lo", "one.*"))
     picked = chosen.groupBy(F.col("ref").alias("_ref")).agg(F.collect_list(F.struct("bucket", "start", "stop", "anchor", "hi", "lo")).alias("parts"))
-    if chosen.count() <= max_broadcast:
-        picked = F.broadcast(picked)
     source = keyed.join(picked, F.col("ref") == F.col("_ref")).select("ref", "text", "parts")
 
     def read(batch: pa.RecordBatch):
@@ -255,11 +251,9 @@ def repeated_ranges(keyed: DataFrame, length: int, q: int, unit=Bytes, bucket_li
     spans = persisted(map_arrow(source, read, _SPAN).dropDuplicates(["bucket", "hi", "lo"]))  # repeated rows give the same span twice
     for width in (*CUTS, None):
         large = persisted(spans.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket_limit).select("bucket"))
-        n_large = large.count()
-        if not n_large or width is None:
+        if width is None or large.isEmpty():
             ranges.append(_refined(spans, length, q, unit, task_size))
             break
-        large = F.broadcast(large) if n_large <= max_broadcast else large
         ranges.append(_refined(spans.join(large, "bucket", "left_anti"), length, q, unit, task_size))
         more, spans = _cut_further(spans.join(large, "bucket", "left_semi"), length, width, unit)
         ranges.append(more)
@@ -344,7 +338,7 @@ def _cut_further(spans: DataFrame, length: int, width: int, unit) -> tuple[DataF
     return ranges, persisted(kinds.join(several, "bucket", "left_semi").select("bucket", "one.ref", "one.start", "one.stop", "one.anchor", "hi", "lo", "one.span"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = ("doc_id",), q: int = 100, words: int = 51, max_broadcast: int = MAX_BROADCAST, bucket_limit: int = BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = ("doc_id",), q: int = 100, words: int = 51, bucket_limit: int = BUCKET) -> DataFrame:
     """``keep``, n_bytes, n_removed, n_spans, spans (start, end in bytes), ``left``
     (binary: the bytes left, joined) and n_shared_words for each row of ``docs`` (doc_id, text).
 
@@ -360,14 +354,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = (
     doc_id or text), and 0 in others. Nothing is removed for them.
     """
     keyed = named(docs.select(*dict.fromkeys((*keep, "doc_id", "text"))), "ref", "doc_id", "text")
-    limits = {"bucket_limit": bucket_limit, "max_broadcast": max_broadcast}
     texts = keyed.select("ref", "text")
-    by_bytes = repeated_ranges(texts, length, min(q, length), **limits)
-    by_words = repeated_ranges(texts, words, max(1, words // 6), Words, **limits).where("other")
+    by_bytes = repeated_ranges(texts, length, min(q, length), bucket_limit=bucket_limit)
+    by_words = repeated_ranges(texts, words, max(1, words // 6), Words, bucket_limit=bucket_limit).where("other")
     by = by_bytes.select("ref", "ranges").join(by_words.select("ref", F.col("ranges").alias("shared")), "ref", "full").withColumnRenamed("ref", "_ref")
-    size = sum(t.agg(F.sum(F.size("ranges") + 1)).first()[0] or 0 for t in (by_bytes, by_words))
-    if size <= max_broadcast:
-        by = F.broadcast(by)
     joined = keyed.join(by, F.col("ref") == F.col("_ref"), "left").select(*dict.fromkeys((*keep, "text")), "ranges", "shared")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in keep] + ["n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, left binary, n_shared_words bigint"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

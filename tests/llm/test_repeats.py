@@ -38,7 +38,7 @@ def brute_words(rows, n):
 
 
 @pytest.mark.parametrize("piece", [1 << 19, 64])
-@pytest.mark.parametrize("options", [{}, {"bucket_limit": 3}, {"max_broadcast": 0, "bucket_limit": 2}])
+@pytest.mark.parametrize("options", [{}, {"bucket_limit": 3}])
 def test_against_brute_force(spark, options, piece, monkeypatch):
     rng = random.Random(len(options))
     if piece == 64:
