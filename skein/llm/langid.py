@@ -67,8 +67,46 @@ def _responses(x: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return out.max(axis=1)
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The weighted mean cross entropy of some windows, and its gradient, which passes the place of each filter's maximum."""
+    total, places = len(WIDTHS) * FILTERS, WINDOW - max(WIDTHS) + 1
+    e = p["embed"][x]
+    g = {k: np.zeros_like(a) for k, a in p.items()}
+    pooled = np.zeros((len(x), total), dtype=e.dtype)
+    patches = []
+    for k, w in enumerate(WIDTHS):
+        cols = np.concatenate([e[:, j : j + places] for j in range(w)], axis=2)
+        out = cols @ p[f"w{k}"]
+        where = out.argmax(axis=1)
+        patches.append((cols, where))
+        pooled[:, k * FILTERS : (k + 1) * FILTERS] = np.take_along_axis(out, where[:, None, :], axis=1)[:, 0]
+    hidden = np.maximum(pooled + p["bias"], 0)
+    logits = hidden @ p["dense"] + p["dense_bias"]
+    prob = np.exp(logits - logits.max(axis=1, keepdims=True))
+    prob /= prob.sum(axis=1, keepdims=True)
+    at = np.arange(len(x))
+    loss = float(-(weight[y] * np.log(prob[at, y])).mean())
+    d = prob
+    d[at, y] -= 1
+    d *= (weight[y] / len(x))[:, None]
+    d = d.astype(e.dtype)
+    g["dense"], g["dense_bias"] = hidden.T @ d, d.sum(axis=0)
+    dh = (d @ p["dense"].T) * (hidden > 0)
+    g["bias"] = dh.sum(axis=0)
+    rows = at[:, None]
+    for k, w in enumerate(WIDTHS):
+        cols, where = patches[k]
+        own = dh[:, k * FILTERS : (k + 1) * FILTERS]
+        best = cols[rows, where]  # windows x FILTERS x width * EMBED
+        g[f"w{k}"] = np.einsum("bfc,bf->cf", best, own)
+        back = own[:, :, None] * p[f"w{k}"].T[None]
+        for j in range(w):
+            np.add.at(g["embed"], x[rows, where + j], back[:, :, j * EMBED : (j + 1) * EMBED])
+    return loss, g
+
+
 def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Adam on the cross entropy; the gradient passes the place of each filter's maximum."""
+    """Adam on the cross entropy."""
     rng = np.random.default_rng(seed)
     n, total = len(langs), len(WIDTHS) * FILTERS
     p = {"embed": rng.normal(0, 0.5, (256, EMBED)), "bias": np.zeros(total), "dense": rng.normal(0, 0.3, (total, n)), "dense_bias": np.zeros(n)}
@@ -77,42 +115,11 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     weight = len(labels) / (n * np.maximum(np.bincount(labels, minlength=n), 1))  # languages count alike
     steps = 0
-    places = WINDOW - max(WIDTHS) + 1
     for _ in range(epochs):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            x, y = windows[pick], labels[pick]
-            e = p["embed"][x]
-            g = {k: np.zeros_like(a) for k, a in p.items()}
-            pooled = np.zeros((len(pick), total), dtype=np.float32)
-            patches = []
-            for k, w in enumerate(WIDTHS):
-                cols = np.concatenate([e[:, j : j + places] for j in range(w)], axis=2)
-                out = cols @ p[f"w{k}"]
-                where = out.argmax(axis=1)
-                patches.append((cols, where))
-                pooled[:, k * FILTERS : (k + 1) * FILTERS] = np.take_along_axis(out, where[:, None, :], axis=1)[:, 0]
-            hidden = np.maximum(pooled + p["bias"], 0)
-            logits = hidden @ p["dense"] + p["dense_bias"]
-            prob = np.exp(logits - logits.max(axis=1, keepdims=True))
-            prob /= prob.sum(axis=1, keepdims=True)
-            d = prob
-            d[np.arange(len(pick)), y] -= 1
-            d *= (weight[y] / len(pick))[:, None]
-            d = d.astype(np.float32)
-            g["dense"], g["dense_bias"] = hidden.T @ d, d.sum(axis=0)
-            dh = (d @ p["dense"].T) * (hidden > 0)
-            g["bias"] = dh.sum(axis=0)
-            rows = np.arange(len(pick))[:, None]
-            for k, w in enumerate(WIDTHS):
-                cols, where = patches[k]
-                own = dh[:, k * FILTERS : (k + 1) * FILTERS]
-                best = cols[rows, where]  # windows x FILTERS x width * EMBED
-                g[f"w{k}"] = np.einsum("bfc,bf->cf", best, own)
-                back = own[:, :, None] * p[f"w{k}"].T[None]
-                for j in range(w):
-                    np.add.at(g["embed"], x[rows, where + j], back[:, :, j * EMBED : (j + 1) * EMBED])
+            _, g = gradients(p, windows[pick], labels[pick], weight)
             steps += 1
             rate = RATE * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
             for k in p:
