@@ -397,11 +397,12 @@ def classes_of_regions(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links_within(sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """a, b: links that connect the classes of regions that fit a task; root gives classes already known."""
+    """a, b: links between classes (root) already known that connect them in regions that fit a task."""
 
     def run(t: pa.Table) -> pa.Table:
-        names, own, root = _sets(t, "root")
-        return _link_table(names, names[local_classes(own, percent, root)])
+        _, own, root = _sets(t, "root")
+        pairs = np.unique(np.stack([root, root[local_classes(own, percent, root)]], axis=1), axis=0)
+        return _link_table(pairs[:, 0], pairs[:, 1])
 
     return map_groups(sets.sparkSession, sets.groupBy(*keys), run, _LINK)
 
@@ -466,37 +467,43 @@ def _placed(large: DataFrame, percent: int, limit: int) -> tuple[DataFrame, Data
             distance[k] = 1 - both / (size[i] + size - both)
             hit[k] = linked(both, size[i], size, percent)
         rows = np.flatnonzero(~is_pivot)
-        names = node[at]
-        best = distance[:, rows].argmin(axis=0)
+        names, distance, hit = node[at], distance[:, rows].T, hit[:, rows].T
         out = t.select(keep).take(pa.array(rows))
         out = out.append_column("pivots", pa.array([names.tolist()] * len(rows), pa.list_(pa.int64())))
-        out = out.append_column("distances", pa.array(distance[:, rows].T.tolist(), pa.list_(pa.float64())))
-        out = out.append_column("nearest", pa.array(names[best]))
-        return out.append_column("linked", pa.array([names[hit[:, r]].tolist() for r in rows], pa.list_(pa.int64())))
+        out = out.append_column("distances", pa.array(distance.tolist(), pa.list_(pa.float64())))
+        out = out.append_column("nearest", pa.array(names[distance.argmin(axis=1)]))
+        out = out.append_column("first", pa.array(names[hit.argmax(axis=1)], mask=~hit.any(axis=1)))
+        merged = _merged([names[x].tolist() for x in np.unique(hit, axis=0)])  # pivots that a member links; with the first row
+        return out.append_column("merged", pa.array([merged if i == 0 else [] for i in range(len(rows))], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))))
 
-    schema = "region bigint, size bigint, node bigint, tokens binary, root bigint, home boolean, listed boolean, pivots array<bigint>, distances array<double>, nearest bigint, linked array<bigint>"
+    schema = "region bigint, size bigint, node bigint, tokens binary, root bigint, home boolean, listed boolean, pivots array<bigint>, distances array<double>, nearest bigint, first bigint, merged array<struct<a: bigint, b: bigint>>"
     placed = persisted(map_groups(spark, rows.unionByName(copies).groupBy("region", "part"), near, schema))
-    stars = placed.select(F.col("node").alias("a"), F.explode("linked").alias("b")).where("a <> b")
-    # pivots that some member is linked to are of one class
-    pairs = placed.where(F.size("linked") > 1).select("region", F.col("linked")[0].alias("a"), F.explode("linked").alias("b")).where("a <> b").distinct()
+    pairs = placed.select("region", F.explode("merged").alias("m")).select("region", "m.a", "m.b")
+    stars = placed.where("first <> node").select(F.col("root").alias("a"), F.col("first").alias("b")).union(pairs.select("a", "b"))
 
     def classes(t: pa.Table) -> pa.Table:
-        up: dict[int, int] = {}
+        found = _merged(zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True))
+        return pa.table({"region": pa.array([t.column("region")[0].as_py()] * len(found), pa.int64()), "first": pa.array([x["a"] for x in found], pa.int64()), "class": pa.array([x["b"] for x in found], pa.int64())})
 
-        def top(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                x = up[x]
-            return x
+    of = persisted(map_groups(spark, pairs.groupBy("region"), classes, "region bigint, first bigint, class bigint"))  # PIVOTS rows, about, of a region
+    placed = placed.join(of, ["region", "first"], "left").withColumn("root", F.coalesce("class", "first", "root"))
+    return placed.drop("first", "class", "merged"), stars
 
-        for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
-            a, b = top(a), top(b)
-            up[max(a, b)] = min(a, b)
-        names = sorted(up)
-        return pa.table({"region": pa.array([t.column("region")[0].as_py()] * len(names), pa.int64()), "first": pa.array(names, pa.int64()), "class": pa.array([top(x) for x in names], pa.int64())})
 
-    of = persisted(map_groups(spark, pairs.groupBy("region"), classes, "region bigint, first bigint, class bigint"))  # PIVOTS rows, about, of a region
-    placed = placed.withColumn("first", F.when(F.size("linked") > 0, F.col("linked")[0]).otherwise(F.col("root")))
-    return placed.join(of, ["region", "first"], "left").withColumn("root", F.coalesce("class", "first")).drop("first", "class", "linked"), stars
+def _merged(groups) -> list[dict[str, int]]:
+    """a and b, the least of its class, of all that isn't the least itself, from groups that are of one class."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for group in groups:
+        for x in group[1:]:
+            a, b = top(group[0]), top(x)
+            up[max(a, b)] = min(a, b)
+    return [{"a": x, "b": top(x)} for x in sorted(up) if top(x) != x]
 
 
 def _in_windows(placed: DataFrame, cells: DataFrame, eps: float) -> DataFrame:
@@ -531,9 +538,34 @@ def _in_cells(placed: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("cell.id").alias("region"), F.col("cell.n").alias("size"), "node", "tokens", "root", F.col("home_here").alias("home"), "listed")
 
 
+def shingle_lists(prefixes: DataFrame) -> DataFrame:
+    """list and node: the sets of each prefix shingle; of shingles with the same sets one. Lists stay packed until equal ones have gone."""
+
+    def packed(t: pa.Table) -> pa.Table:
+        token, node = _gathered(t)
+        order = np.lexsort((node, token))
+        token, node = token[order], node[order]
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        found: dict[bytes, bytes] = {}
+        for a, z in zip(start.tolist(), [*start[1:].tolist(), len(token)][: len(start)], strict=True):
+            raw = np.unique(node[a:z]).tobytes()
+            found[xxhash.xxh3_128_digest(raw)] = raw
+        return pa.table({"name": pa.array(list(found), pa.binary()), "nodes": pa.array(list(found.values()), pa.binary())})
+
+    def unpacked(batch: pa.RecordBatch):
+        for name, raw in zip(batch.column("list").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+            node = np.frombuffer(raw, dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({"list": pa.array([name] * len(node), pa.int64()), "node": pa.array(node)})
+
+    lists = map_groups(prefixes.sparkSession, prefixes.where("bucket >= 0").groupBy("bucket"), packed, "name binary, nodes binary").dropDuplicates(["name"])
+    rare = map_arrow(lists.select(F.xxhash64("name").alias("list"), "nodes"), unpacked, "list bigint, node bigint")
+    return rare.union(postings(prefixes.where("bucket < 0")).distinct())
+
+
 def _listed(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The sets of each prefix shingle of a region as regions of their own; of shingles with the same sets one."""
-    lists = postings(prefixes).distinct().join(rows.select("region", "node", "root", F.octet_length("tokens").alias("bytes")), "node").withColumn("list", F.xxhash64("region", "h"))
+    """The sets of each prefix shingle of a region as regions of their own."""
+    lists = shingle_lists(prefixes).join(rows.select("region", "node", "root", F.octet_length("tokens").alias("bytes")), "node")
+    lists = persisted(lists.withColumn("list", F.xxhash64("region", "list")))
     stats = lists.groupBy("region", "list").agg(F.count(F.lit(1)).alias("n"), _weight().alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), (F.min("root") != F.max("root")).alias("mixed"))
     one = stats.where("mixed").groupBy("region", "n", "size", "x", "y").agg(F.min("list").alias("list")).select("list", "size")
     members = lists.select("region", "list", "node").join(one, "list")
