@@ -134,7 +134,7 @@ def main() -> None:
     n = spark.table("orders").count()
     noop = lambda sql: spark.sql(sql).write.format("noop").mode("overwrite").save()
     plain_spark = {name: timed(lambda sql=sql: noop(sql)) for name, sql in plain(n).items()}
-    in_duckdb = {name: timed(lambda sql=sql: duck.execute(sql).fetch_arrow_table()) for name, sql in plain(n).items()}
+    in_duckdb = {name: timed(lambda sql=sql: duck.execute(sql).fetchnumpy()) for name, sql in plain(n).items()}
     rows = spark.table("lineitem").agg(F.count(F.lit(1))).first()[0]
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "plain_spark": plain_spark, "duckdb": in_duckdb, "sf": os.path.basename(FOLDER.rstrip("/")), "lineitem_rows": rows, "cpus": int(CPUS)}))
     spark.stop()
