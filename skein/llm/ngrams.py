@@ -38,7 +38,7 @@ BACKOFF, MIN_COUNT = 0.4, 2
 #: N-grams of a partition, about, and of a task's rows.
 BUCKET, FLUSH = 2_000_000, 900_000
 #: Words whose counts are broadcast, at most: packed in about 7 bytes, 12 in a worker.
-MAX_WORDS = 1 << 22
+MAX_WORDS = 1 << 23
 #: Frequent bigrams: entries of a task's summary, occurrences in a task at least, in all at least.
 SUMMARY, LOCAL_HOT, HOT = 16384, 8, 1024
 
