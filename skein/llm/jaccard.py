@@ -22,8 +22,13 @@ can't divide a corpus; single shingles are its pivots first:
 3. **Where windows don't divide.** Regions may have grown together by shingles that
    unlike documents share; all distances are near 1 then and every window holds. Such
    a region falls apart into the sets of each shingle again, equal ones once, each a
-   region as above. Only a set of documents that share a shingle, fill more than a
-   task and are still all unlike is compared in blocks, each pair once.
+   region as above, but for those within a longer one. A set of documents that share a
+   shingle, fill more than a task and are still all unlike is compared in blocks, each
+   pair once, and so is a region that its shingles' lists would copy more often: long
+   near copies share thousands of shingles, each with other members.
+
+Sets of large regions that can't link, most of whose shingles no other set of a fitting
+size has, are left out first, and regions made anew without them.
 
 Within a task a set is compared with all others at once by marking its shingles,
 again only sets outside the largest class, so that a group of copies costs one
@@ -427,8 +432,9 @@ def links_of_large_regions(sets: DataFrame, prefixes: DataFrame, percent: int, l
         parts = _in_cells(placed, cells, percent)
         if not wide.isEmpty():
             again = placed.join(wide, "region", "left_semi")
-            found.append(_links_in_blocks(again.where("listed"), percent, limit))
-            parts = parts.unionByName(_listed(again.where("not listed"), prefixes))
+            lists, dense = _listed(again.where("not listed"), prefixes, limit)
+            found.append(_links_in_blocks(again.join(dense, "region", "left").where("listed or dense"), percent, limit))
+            parts = parts.unionByName(lists)
         level = persisted(parts)
     out = found[0]
     for f in found[1:]:
@@ -436,6 +442,71 @@ def links_of_large_regions(sets: DataFrame, prefixes: DataFrame, percent: int, l
     return out
 
 
+def trimmed(sets: DataFrame, percent: int, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """``sets`` (with node, tokens) without those that can't link, which are what unlike texts grow together by.
+
+    ``percent`` of a set's shingles at least are in any set it links with, whose size
+    differs by no more than that; so must they be in some other set of such a size.
+    """
+    total = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    buckets = max(4, -(-total // 8 // BUCKET))
+    packed = _schema(more=True)
+
+    def dealt(token: list, node: list, size: list) -> pa.RecordBatch:
+        token, length = np.concatenate(token), np.array([len(x) for x in token])
+        at = np.repeat(np.arange(len(node)), length)
+        bucket = _token_bucket(token, buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, token, at = bucket[order], token[order], at[order]
+        names, first = np.unique(bucket, return_index=True)
+        parts = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
+        node, size = np.array(node, dtype=np.int64)[at], np.array(size, dtype=np.uint32)[at]
+        return pa.RecordBatch.from_pydict({"bucket": names.tolist(), "code": [token[a:z].tobytes() for a, z in parts], "node": [node[a:z].tobytes() for a, z in parts], "more": [size[a:z].tobytes() for a, z in parts]}, schema=packed)
+
+    def emit(batches):
+        token, node, held = [], [], 0
+        for batch in batches:
+            for name, raw in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                token.append(np.frombuffer(raw, dtype=np.uint64))
+                node.append(name)
+                held += len(token[-1])
+                if held >= FLUSH:
+                    yield dealt(token, node, [len(x) for x in token])
+                    token, node, held = [], [], 0
+        if token:
+            yield dealt(token, node, [len(x) for x in token])
+
+    def met(t: pa.Table) -> pa.Table:
+        token, node = _gathered(t)
+        size = np.frombuffer(b"".join(t.column("more").to_pylist()), dtype=np.uint32).astype(np.int64)
+        order = np.lexsort((size, token))
+        token, node, size = token[order], node[order], size[order]
+        next_to = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])  # of a shingle's sets those next in size are the nearest
+        found = np.append(next_to, False) | np.append(False, next_to)
+        names, n = np.unique(node[found], return_counts=True)
+        return pa.table({"node": pa.array(names, pa.int64()), "met": pa.array(n, pa.int64())})
+
+    postings_ = map_batches(sets.select("node", "tokens"), emit, _PACKED + ", more binary")
+    counts = map_groups(sets.sparkSession, postings_.groupBy("bucket"), met, "node bigint, met bigint").groupBy("node").agg(F.sum("met").alias("met"))
+    sizes = sets.select("node", F.expr("octet_length(tokens) div 8").alias("n"))
+    stay = persisted(counts.join(sizes, "node").where(100 * F.col("met") >= percent * F.col("n")).select("node"))
+    return sets.join(F.broadcast(stay) if stay.count() <= max_broadcast else stay, "node", "left_semi")
+
+
+def divided(sets: DataFrame, prefixes: DataFrame, percent: int, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """region, size, node and tokens of the sets of large regions that may link, in the regions that are left without the others."""
+    left = persisted(trimmed(sets, percent, max_broadcast).select("node", "tokens"))
+    lists = shingle_lists(prefixes).join(left.select("node"), "node", "left_semi")
+    lists = persisted(lists.select("list", "node"))
+    least = lists.groupBy("list").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("list", "b")
+    regions = connected_components(lists.join(least, "list").select(F.col("node").alias("a"), "b").distinct()).withColumnRenamed("root", "region")
+    of = regions.join(left.select("node", F.octet_length("tokens").alias("bytes")), "node")
+    size = of.groupBy("region").agg(_weight().alias("size"))
+    out = persisted(left.join(regions.join(size, "region"), "node").select("region", "size", "node", "tokens"))
+    discard(lists, left)
+    return out
+
+
 def _placed(large: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """Members with pivots and their distances, the nearest and the root of its class; and links to pivots."""
     spark = large.sparkSession
@@ -562,19 +633,39 @@ def shingle_lists(prefixes: DataFrame) -> DataFrame:
     return rare.union(postings(prefixes.where("bucket < 0")).distinct())
 
 
-def _listed(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The sets of each prefix shingle of a region as regions of their own."""
+def _listed(rows: DataFrame, prefixes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of each prefix shingle of a region as regions of their own; and the regions (dense: true) where that takes more bytes than blocks do."""
     lists = shingle_lists(prefixes).join(rows.select("region", "node", "root", F.octet_length("tokens").alias("bytes")), "node")
     lists = persisted(lists.withColumn("list", F.xxhash64("region", "list")))
     stats = lists.groupBy("region", "list").agg(F.count(F.lit(1)).alias("n"), _weight().alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), (F.min("root") != F.max("root")).alias("mixed"))
-    one = stats.where("mixed").groupBy("region", "n", "size", "x", "y").agg(F.min("list").alias("list")).select("list", "size")
+    one = stats.where("mixed").groupBy("region", "n", "size", "x", "y").agg(F.min("list").alias("list")).select("list", "size", "n")
     members = lists.select("region", "list", "node").join(one, "list")
-    return rows.drop("size").join(members, ["region", "node"]).select(F.col("list").alias("region"), "size", "node", "tokens", "root", F.lit(True).alias("home"), F.lit(True).alias("listed"))
+    members = persisted(members.join(_covered(members), "list", "left_anti"))
+    taken = members.join(lists.select("region", "list", "node", "bytes"), ["region", "list", "node"]).groupBy("region").agg(F.sum("bytes").alias("taken"))
+    whole = rows.groupBy("region", "size").agg(F.sum(F.octet_length("tokens")).alias("bytes"))
+    dense = persisted(whole.join(taken, "region").where(F.col("taken") > F.col("bytes") * _blocks(limit)).select("region", F.lit(True).alias("dense")))
+    members = members.join(dense, "region", "left_anti")
+    parts = rows.drop("size").join(members.drop("n"), ["region", "node"]).select(F.col("list").alias("region"), "size", "node", "tokens", "root", F.lit(True).alias("home"), F.lit(True).alias("listed"))
+    return parts, dense
+
+
+def _blocks(limit: int) -> F.Column:
+    """Blocks of half a task's size that a region is cut into; each of its sets is in as many tasks."""
+    return F.ceil(2 * F.col("size") / limit).cast("bigint")
+
+
+def _covered(members: DataFrame) -> DataFrame:
+    """list: those all of whose sets are in one longer list, where their pairs are met; no two lists of ``members`` (region, list, node, n) are equal."""
+    longest = members.groupBy("region", "node").agg(F.max(F.struct("n", "list")).alias("top"))
+    first = members.groupBy("region", "list", "n").agg(F.min("node").alias("node"))
+    tried = first.join(longest, ["region", "node"]).where(F.col("top.n") > F.col("n")).select("list", "n", F.col("top.list").alias("longer"))
+    met = members.select("list", "node").join(tried, "list").join(members.select(F.col("list").alias("longer"), "node"), ["longer", "node"])
+    return met.groupBy("list", "n").count().where(F.col("count") == F.col("n")).select("list")
 
 
 def _links_in_blocks(rows: DataFrame, percent: int, limit: int) -> DataFrame:
     """Links of regions that nothing divides: blocks of half a task's size, each two of them in one task."""
-    blocks_ = F.ceil(2 * F.col("size") / limit).cast("bigint")
+    blocks_ = _blocks(limit)
     own = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), blocks_)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks_ - 1)))
     return links_within(own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")), ["region", "i", "j"], percent)
 
@@ -614,7 +705,7 @@ def _classed(docs: DataFrame, words: int, percent: int, region: int, max_broadca
     sets = persisted(map_arrow(chosen, sets_of, "region bigint, size bigint, node bigint, tokens binary").dropDuplicates(["node"]))
     roots = classes_of_regions(sets.where(F.col("size") <= region), percent)
     if n_large:
-        roots = roots.union(connected_components(links_of_large_regions(sets.where(F.col("size") > region), prefixes, percent, region)))
+        roots = roots.union(connected_components(links_of_large_regions(divided(sets.where(F.col("size") > region), prefixes, percent, max_broadcast), prefixes, percent, region)))
     return members, persisted(roots)
 
 

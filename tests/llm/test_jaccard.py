@@ -134,3 +134,34 @@ def test_word_hashes():
     want = [w for t in some for w in re.findall(rb"[^\x20\x09-\x0d]+", t.lower())]
     assert len(h) == len(want) and len(set(zip(h.tolist(), want, strict=True))) == len(set(want)) == len(set(h.tolist()))
     assert [len(s) for s in shingle_sets([b"a b", b"", b"a b c d e f"])] == [1, 0, 2] and begins[-1] == len(want)
+
+
+def test_long_near_copies_are_not_copied_for_each_shingle(spark, monkeypatch):
+    """A group of edited copies, most too far from each other to link: hundreds of shingles, each shared by other members."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(30):
+        w = list(base)
+        for j in rng.sample(range(400), rng.randrange(5, 12)):
+            w[j] = f"e{i}x{j}"
+        rows.append((i, " ".join(w)))
+    read, inner = [], J.links_within
+
+    def counted(sets, *args):
+        read.append(sets.selectExpr("sum(octet_length(tokens)) as n").first().n or 0)
+        return inner(sets, *args)
+
+    monkeypatch.setattr(J, "links_within", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.link_classes(docs, region=12).collect())
+    assert got == brute(rows)
+    assert 0 < sum(read) < 12 * 8 * sum(n for _, n, _ in got)
+
+
+def test_trimmed_keeps_what_links(spark):
+    """Sets most of whose shingles no set of a fitting size has can't link."""
+    sets = [range(100), range(10, 110), range(1000, 1100), [*range(1000, 1050), *range(2000, 2050)], range(5000, 5010), range(5000, 5900)]
+    rows = [(i, np.array(s, dtype=np.uint64).tobytes()) for i, s in enumerate(sets)]
+    left = J.trimmed(spark.createDataFrame(rows, "node bigint, tokens binary"), 75).collect()
+    assert sorted(r.node for r in left) == [0, 1]
