@@ -2,7 +2,8 @@
 
 Every operator takes a DataFrame that has at least the columns it names and ignores
 all other columns unless it says that it carries them along. Of the session's
-configuration only the size of record batches between Spark and Python is lowered.
+configuration only the size of record batches between Spark and Python is lowered, and
+by ``repeats`` shuffle files are dropped early while its steps run.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import discard, persisted
+from ..sources.tables import discard, persisted, shuffles_dropped
 
-__all__ = ["blocks", "discard", "map_arrow", "map_batches", "map_groups", "merged_in_tree", "named", "persisted", "table", "text_bytes"]
+__all__ = ["blocks", "discard", "map_arrow", "map_batches", "map_groups", "merged_in_tree", "named", "persisted", "shuffles_dropped", "table", "text_bytes"]
 
 #: Bytes of text that a Python worker handles at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20

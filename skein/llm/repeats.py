@@ -20,7 +20,9 @@ of ``length - q`` starts:
 
 Each document then loses the bytes that its repeated strings cover. Nothing is
 broadcast but what the planner finds small: the joins of segments, of the texts that
-are read again and of results are shuffles at any size.
+are read again and of results are shuffles at any size. Each step is written to the
+shared store; what it read goes as soon as no later step needs it, and its shuffle
+files go at its end.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, map_arrow, map_groups, named, persisted, table, text_bytes
+from .common import blocks, discard, map_arrow, map_groups, named, persisted, shuffles_dropped, table, text_bytes
 from .texthash import mixed, word_hashes
 
 #: Bytes of texts handled at once, and symbols of a text.
@@ -231,10 +233,13 @@ def repeated_ranges(keyed: DataFrame, length: int, q: int, unit=Bytes, bucket_li
     kinds = persisted(parts.groupBy("bucket", "hi", "lo").agg(F.count(F.lit(1)).alias("n"), one, F.max("ref").alias("last")))
     # whole segments found twice
     whole = kinds.where("n > 1").select("hi", "lo", (F.col("one.ref") != F.col("last")).alias("other"))
-    ranges = [parts.join(whole, ["hi", "lo"]).select("ref", "start", "stop", "other")]
+    ranges = [persisted(parts.join(whole, ["hi", "lo"]).select("ref", "start", "stop", "other"))]
+    tasks = max(1, -(-parts.count() // 200_000))
+    discard(parts)
     # one segment of each kind in buckets with several kinds
     several = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     chosen = persisted(kinds.join(several, "bucket").select("bucket", "hi", "lo", "one.*"))
+    discard(kinds)
     picked = chosen.groupBy(F.col("ref").alias("_ref")).agg(F.collect_list(F.struct("bucket", "start", "stop", "anchor", "hi", "lo")).alias("parts"))
     source = keyed.join(picked, F.col("ref") == F.col("_ref")).select("ref", "text", "parts")
 
@@ -249,19 +254,23 @@ def repeated_ranges(keyed: DataFrame, length: int, q: int, unit=Bytes, bucket_li
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "span" else pa.int64()) for k, v in out.items()})
 
     spans = persisted(map_arrow(source, read, _SPAN).dropDuplicates(["bucket", "hi", "lo"]))  # repeated rows give the same span twice
+    discard(chosen)
     for width in (*CUTS, None):
         large = persisted(spans.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket_limit).select("bucket"))
         if width is None or large.isEmpty():
-            ranges.append(_refined(spans, length, q, unit, task_size))
+            ranges.append(persisted(_refined(spans, length, q, unit, task_size)))
+            discard(spans, large)
             break
-        ranges.append(_refined(spans.join(large, "bucket", "left_anti"), length, q, unit, task_size))
-        more, spans = _cut_further(spans.join(large, "bucket", "left_semi"), length, width, unit)
+        ranges.append(persisted(_refined(spans.join(large, "bucket", "left_anti"), length, q, unit, task_size)))
+        more, rest = _cut_further(spans.join(large, "bucket", "left_semi"), length, width, unit)
         ranges.append(more)
+        discard(spans, large)
+        spans = rest
     out = ranges[0]
     for r in ranges[1:]:
         out = out.union(r)
-    found = persisted(_merged(out, max(1, -(-parts.count() // 200_000))))
-    discard(parts, kinds, chosen)
+    found = persisted(_merged(out, tasks))
+    discard(*ranges)
     return found
 
 
@@ -333,9 +342,12 @@ def _cut_further(spans: DataFrame, length: int, width: int, unit) -> tuple[DataF
     pieces = persisted(map_arrow(spans, run, _SPAN))
     kinds = persisted(pieces.groupBy("bucket", "hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "start", "stop", "anchor", "span")).alias("one"), F.max("ref").alias("last_ref")))
     whole = kinds.where("n > 1").select("bucket", "hi", "lo", (F.col("one.ref") != F.col("last_ref")).alias("other"))
-    ranges = pieces.join(whole, ["bucket", "hi", "lo"]).select("ref", "start", "stop", "other")
+    ranges = persisted(pieces.join(whole, ["bucket", "hi", "lo"]).select("ref", "start", "stop", "other"))
+    discard(pieces)
     several = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    return ranges, persisted(kinds.join(several, "bucket", "left_semi").select("bucket", "one.ref", "one.start", "one.stop", "one.anchor", "hi", "lo", "one.span"))
+    rest = persisted(kinds.join(several, "bucket", "left_semi").select("bucket", "one.ref", "one.start", "one.stop", "one.anchor", "hi", "lo", "one.span"))
+    discard(kinds)
+    return ranges, rest
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = ("doc_id",), q: int = 100, words: int = 51, bucket_limit: int = BUCKET) -> DataFrame:
@@ -353,10 +365,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = (
     start anywhere else, in documents that share one with another document (of another
     doc_id or text), and 0 in others. Nothing is removed for them.
     """
-    keyed = named(docs.select(*dict.fromkeys((*keep, "doc_id", "text"))), "ref", "doc_id", "text")
-    texts = keyed.select("ref", "text")
-    by_bytes = repeated_ranges(texts, length, min(q, length), bucket_limit=bucket_limit)
-    by_words = repeated_ranges(texts, words, max(1, words // 6), Words, bucket_limit=bucket_limit).where("other")
+    with shuffles_dropped(docs.sparkSession):
+        keyed = named(docs.select(*dict.fromkeys((*keep, "doc_id", "text"))), "ref", "doc_id", "text")
+        texts = keyed.select("ref", "text")
+        by_bytes = repeated_ranges(texts, length, min(q, length), bucket_limit=bucket_limit)
+        by_words = repeated_ranges(texts, words, max(1, words // 6), Words, bucket_limit=bucket_limit).where("other")
     by = by_bytes.select("ref", "ranges").join(by_words.select("ref", F.col("ranges").alias("shared")), "ref", "full").withColumnRenamed("ref", "_ref")
     joined = keyed.join(by, F.col("ref") == F.col("_ref"), "left").select(*dict.fromkeys((*keep, "text")), "ranges", "shared")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in keep] + ["n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, left binary, n_shared_words bigint"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -11,6 +13,8 @@ from ..errors import StorageError
 
 #: Schemas of tables that this application has read, so that later reads need no look at a file's footer.
 _schemas: dict[tuple[str, str], StructType] = {}
+#: Spark's option by which an execution's shuffle files go when it ends, instead of when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,3 +67,20 @@ def discard(*frames: DataFrame) -> None:
             files, at = _located(df.sparkSession, path)
             files.delete(at, True)
             files.cancelDeleteOnExit(at)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, an execution's shuffle files go at its end; for steps that are ``persisted``, since nothing reads those files again.
+
+    A frame that is handed on should be made outside, or what runs it twice shuffles twice.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)

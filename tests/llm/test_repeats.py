@@ -1,6 +1,8 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -95,3 +97,23 @@ def test_odd_tables(odd, nothing):
     want = sorted((str(d), len(w)) for (d, _), w in zip(rows, brute([t for _, t in rows], 10), strict=True))
     assert sorted((str(r.doc_id), len(r.left)) for r in R.remove_repeats(odd, length=10, q=5).collect()) == want
     assert R.remove_repeats(nothing).collect() == []
+
+
+def test_nothing_is_left_but_what_the_result_reads(spark):
+    """Scratch tables go with the last step that reads them, shuffle files with the step that wrote them; bucket limits of 3 take the longest way."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for f in blocks.getAllFiles().mkString("\n").split("\n") if (n := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    folders = lambda: set(Path(root.removeprefix("file:")).glob("skein-*"))
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rng = random.Random(3)
+    base = ["".join(rng.choice("ab") for _ in range(100)) for _ in range(5)]
+    rows = [(i, " ".join(rng.choice(base)[: rng.randrange(20, 100)] for _ in range(9))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scratch, files, before = folders(), shuffled(), spark.conf.get(option, None)
+    out = R.remove_repeats(docs, length=40, q=10, words=7, bucket_limit=3)
+    time.sleep(2)  # Spark deletes them in the background
+    assert len(folders() - scratch) == 2
+    assert sorted(shuffled() - files) == []
+    assert spark.conf.get(option, None) == before
+    assert out.count() == out.count() == 60
