@@ -14,7 +14,9 @@ import json
 import os
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -30,7 +32,7 @@ FREQUENT, SUMMARY, CACHE = 50_000, 4_000, 400_000
 #: Code points handled at once within a text.
 CHUNK_CHARS = 1 << 16
 
-#: Characters for which Python and the tokenizer agree on NFC and lower case by
+#: Characters for which Python and the tokenizer agree on NFC, lower case and kind by
 #: any version of Unicode: up to Latin Extended-A, without the dotted capital I,
 #: and common punctuation.
 _PLAIN = regex.compile(r"[\x00-įı-ſ‐-‧‰-⁞€]*")
@@ -39,6 +41,22 @@ _CUT = regex.compile(r"(?<=[^\s])(?=[ \n])")
 _state: dict[int, tuple] = {}
 
 
+@lru_cache
+def unsure() -> frozenset[str]:
+    """Characters that are white space, a letter or a number for only one of ``regex`` and the tokenizer, whose versions of Unicode differ."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    found: set[str] = set()
+    for kind in (r"\s+", r"\p{L}+", r"\p{N}+"):
+        change = np.zeros(len(every) + 1, dtype=bool)  # where one of them, but not both, begins or ends a run
+        for runs in ([m.span() for m in regex.finditer(kind, every)], [at for _, at in Split(Regex(kind), "removed", invert=True).pre_tokenize_str(every)]):
+            change[np.array(runs, dtype=np.int64).ravel()] ^= True
+        found.update(every[i] for i in np.flatnonzero(np.logical_xor.accumulate(change[:-1])).tolist())
+    return frozenset(found)
+
+
 class WordSplitter:
     """Special strings, normalizer and pre-tokenizer of a tokenizers file of this kind: NFC, white space, lower case; a split pattern; bytes."""
 
@@ -52,14 +70,19 @@ class WordSplitter:
             raise ValueError("not a word-level byte BPE file")
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True  # pre-tokens are ordinary text
+        self.normalize = self.tokenizer.normalizer.normalize_str
+        self.tokenizer.normalizer = None  # pre-tokens are normalized; a second time would move marks that follow what was a dotted capital I
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut_special = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
 
-    def normalized(self, text: str) -> str:
+    def split(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
-            return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-        return self.tokenizer.normalizer.normalize_str(text)
+            return self.find(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower())
+        text = self.normalize(text)
+        if unsure().isdisjoint(text):
+            return self.find(text)
+        return [text[a:z] for _, (a, z) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def pretokens(self, text: str):
         """Lists of pre-tokens; a special string counts on its own: None."""
@@ -75,9 +98,9 @@ class WordSplitter:
     def pretokens_of(self, text: str):
         at = 0
         while len(text) - at > CHUNK_CHARS and (m := _CUT.search(text, at + CHUNK_CHARS)):
-            yield self.find(self.normalized(text[at : m.start()]))
+            yield self.split(text[at : m.start()])
             at = m.start()
-        yield self.find(self.normalized(text[at:] if at else text))
+        yield self.split(text[at:] if at else text)
 
     def lengths(self, pretokens: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(pretokens, add_special_tokens=False)]

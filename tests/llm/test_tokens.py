@@ -39,6 +39,27 @@ def test_counts_of_any_text(text):
         assert got == len(lib.encode(t, add_special_tokens=False).ids)
 
 
+def test_characters_of_another_version_of_unicode(spark):
+    """What is a letter or number for one of ``regex`` and the library only is split as the library does."""
+    lib = Tokenizer.from_file(WORDS)
+    plain, every = tokens._PLAIN, sorted(tokens.unsure())
+    assert not any(map(plain.fullmatch, every))
+    chars = ["\U0003d000", "\u0558", "\ua7ce", "\U00011de0", *every[::200]]
+    texts = [t for c in chars for t in (f"¢{c}", f"a{c}b 1{c}2", f"!{c}{c}? 漢{c}'s é{c}")] + [" ".join(chars) * 2, "".join(chars)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for frequent in (None, {}):
+        got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, WORDS, frequent=frequent).collect()}
+        assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_marks_after_a_dotted_capital_i():
+    """Lower case gives it a mark of its own, which NFC would put behind those of a lower class: texts are normalized once."""
+    split, _ = tokens.splitter(tokens.read_vocabulary(WORDS))
+    lib = Tokenizer.from_file(WORDS)
+    for t in ("İ\u0abc", "a İ\u1ab9 b", "İ\u0323\u0301İ"):
+        assert sum(sum(split.lengths(part)) for part in split.pretokens(t)) == len(lib.encode(t, add_special_tokens=False).ids)
+
+
 def test_frequent_words_cover_all_texts(spark):
     docs = spark.createDataFrame([(i, "the the rare%d" % i) for i in range(50)], "doc_id bigint, text string")
     assert tokens.frequent_words(docs, top=1) == ["the"] and len(tokens.frequent_words(docs.repartition(9), top=99)) == 51
